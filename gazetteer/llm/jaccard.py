@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import written
+from .common import discard, written
 from .graph import components
 
 #: Buckets of the frequency table that orders shingles (a power of two; the table has one byte a bucket).
@@ -185,12 +185,13 @@ class JaccardJoin:
             rank[bucket] = min(255, int(8 * np.log2(c + 1)))
         prefixes = written(self.docs.mapInArrow(_prefixes(words, threshold, rank), "token long, place int, n int, node long, short boolean"))
         self.holders = self.in_company(prefixes)
+        discard(prefixes)
 
     def in_company(self, rows: DataFrame) -> DataFrame:
         """The holders that share a shingle, each with the `next` one in a random order of the shingle's own.  A shingle's
         rows may lie in several partitions, so a frequent one is no burden to any task."""
-        dealt = rows.withColumn("order", F.xxhash64("token", "node"))
-        dealt = dealt.repartitionByRange("token", "order").sortWithinPartitions("token", "order", "node").drop("order")
+        order = [F.col("token"), F.xxhash64("token", "node"), F.col("node")]
+        dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
         return written(dealt.mapInArrow(_company(self.t), "token long, place int, n int, node long, short boolean, next long"))
 
     def overlap(self, n: Column, m: Column) -> Column:
@@ -218,7 +219,9 @@ class JaccardJoin:
         whole = left.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
         a, b = self.t.numerator, self.t.denominator
         shared = F.size(F.array_intersect("sa", "sb"))
-        return whole.where(shared * b >= (F.col("n") - shared) * a).select("a", "b")
+        out = written(whole.where(shared * b >= (F.col("n") - shared) * a).select("a", "b"))
+        discard(left, sets)
+        return out
 
     def links(self) -> DataFrame:
         """Enough links (a, b) between nodes to give the components that all links give."""
@@ -226,7 +229,7 @@ class JaccardJoin:
         found, most = None, None
         while True:
             new = self.verified(pairs)
-            found = written(new if found is None else found.unionByName(new))
+            found = new if found is None else found.unionByName(new)
             held, rows, left = self.labelled(found)
             # Another cheap round while all pairs left are far more than the rows left, and the last one helped.
             if left <= ROUND_GAIN * rows or (most is not None and left > 0.8 * most):
@@ -242,7 +245,9 @@ class JaccardJoin:
         crowd = each.groupBy("token").agg(F.count("*").alias("roots"), F.sum("c").alias("all"), F.max(F.struct("c", "root")).alias("top")).where(F.col("roots") > 1)
         crowd = written(crowd.select("token", "all", F.col("top.c").alias("c"), F.col("top.root").alias("most")))
         rows, pairs = crowd.agg(F.coalesce(F.sum("all"), F.lit(0)), F.coalesce(F.sum((F.col("all") - F.col("c")) * F.col("all").cast("double")), F.lit(0.0))).first()
-        return written(held.join(crowd.select("token", "most"), "token")), rows, pairs
+        crossed = written(held.join(crowd.select("token", "most"), "token"))
+        discard(held, crowd)
+        return crossed, rows, pairs
 
     def hubs(self, held: DataFrame, found: DataFrame) -> DataFrame:
         """For each shingle, the holders outside its largest component paired with that component's best linked holder:
