@@ -62,7 +62,7 @@ def _count():
 
     def run(batches):
         held, size, endings = [], 0, {}
-        for batch in batches:
+        for batch in tb.slices(batches):
             for _, _, raws in tb.batches(batch.column("text").to_pylist()):
                 hashes, code, _ = _tokens(raws)
                 held.append(merged([(hashes.view(np.int64), code, np.ones(len(code), np.int64))]))
@@ -116,7 +116,7 @@ def _bigrams(units: Units):
 
     def run(batches):
         counts = np.zeros(units.n * units.n, np.int64)
-        for batch in batches:
+        for batch in tb.slices(batches):
             for _, _, raws in tb.batches(batch.column("text").to_pylist()):
                 hashes, code, _ = _tokens(raws)
                 unit = units.of(hashes, code)
@@ -250,7 +250,7 @@ def _score(shared):
     def run(batches):
         model = shared.value
         names = ["kind", "row", "key", "unit", "times", "base", "score"]
-        for batch in batches:
+        for batch in tb.slices(batches):
             rows = batch.column("row").to_numpy()
             for a, b, raws in tb.batches(batch.column("text").to_pylist()):
                 hashes, code, bounds = _tokens(raws)

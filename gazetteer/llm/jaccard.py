@@ -71,7 +71,7 @@ def _describe(n: int):
     def run(batches):
         counts = np.zeros(1 << FREQUENCY_BITS, np.int64)
         names, ranges_of = ["counted", "doc_id", "n", "node", "ranges"], pa.list_(pa.int32())
-        for batch in batches:
+        for batch in tb.slices(batches):
             sizes, nodes, ranges, held = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows, []
             for i, s in _sets(batch, n):
                 sizes[i], nodes[i] = len(s), node_of(s)
@@ -92,7 +92,7 @@ def _prefixes(n: int, t: Fraction, rank: np.ndarray):
 
     def run(batches):
         seen: set[int] = set()
-        for batch in batches:
+        for batch in tb.slices(batches):
             token, place, size, node, short = [], [], [], [], []
             for _, s in _sets(batch, n):
                 me = node_of(s)
@@ -151,7 +151,7 @@ def _needed_sets(n: int, bits: np.ndarray):
 
     def run(batches):
         seen: set[int] = set()
-        for batch in batches:
+        for batch in tb.slices(batches):
             rows = np.flatnonzero(bits[batch.column("bit").to_numpy()])
             nodes, sets = [], []
             for _, s in _sets(batch.take(pa.array(rows)), n) if len(rows) else ():

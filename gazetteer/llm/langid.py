@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textbytes as tb
 from .common import remainder
 
 WINDOW = 256
@@ -113,7 +114,7 @@ def sample_windows(seed: int, raw: bytes, n: int = WINDOWS_EACH) -> np.ndarray:
 
 def _draw(wanted: np.ndarray):
     def run(batches):
-        for batch in batches:
+        for batch in tb.slices(batches):
             ids = batch.column("doc_id").to_pylist()
             rows = [i for i in np.flatnonzero(np.isin(np.array(ids, np.int64), wanted))]
             texts, langs = batch.column("text"), batch.column("lang")
@@ -171,7 +172,7 @@ def predict(net: ByteConvNet | None, texts: list) -> tuple[list[str], np.ndarray
 
 def _predictor(net: ByteConvNet | None):
     def run(batches):
-        for batch in batches:
+        for batch in tb.slices(batches):
             langs, scores = predict(net, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "_lang", "_score"])
 

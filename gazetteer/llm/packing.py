@@ -178,7 +178,7 @@ def _pieces(path: str, end: int, sequence: int, grain: int):
         part, tokens, tail = TaskContext.get().partitionId(), WordTokens(path), np.array([end], "<u4").tobytes()
         ranks = np.zeros(sequence // grain + 1, np.int64)
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "class", "rank"]
-        for batch in batches:
+        for batch in tb.slices(batches):
             rows: list[list] = [[] for _ in names]
             ids = batch.column("doc_id").to_pylist()
             for a, _, raws in tb.batches(batch.column("text").to_pylist(), lower=False):

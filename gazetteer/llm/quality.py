@@ -71,7 +71,7 @@ def _counter(buckets: int, wanted: np.ndarray):
 
     def run(batches):
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
-        for batch in batches:
+        for batch in tb.slices(batches):
             ids = batch.column("doc_id").to_pylist()
             mine = np.isin(np.array([-1 if i is None else i for i in ids], np.int64), wanted)
             for a, b, raws in tb.batches(batch.column("text").to_pylist(), lower=False):
@@ -117,7 +117,7 @@ def _with_keys(weights: Weights):
     """Adds `log_weight` and `noise` (standard Gumbel, from a hash of seed, id and text); null for texts without words."""
 
     def run(batches):
-        for batch in batches:
+        for batch in tb.slices(batches):
             if not batch.num_rows:
                 continue
             out, noise = np.full(batch.num_rows, np.nan), np.zeros(batch.num_rows)

@@ -48,7 +48,14 @@ class Powers:
         return cls.up, cls.down
 
 
-def batches(texts: list, limit: int = 4 << 20, lower: bool = True):
+def slices(batches, rows: int = 1024):
+    """Arrow batches in slices of at most so many rows, so that what a task holds as Python objects stays small."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
+def batches(texts: list, limit: int = 1 << 20, lower: bool = True):
     """(first, last, texts as bytes): runs of texts of about `limit` bytes; a longer text is a run of its own.  A null
     text is an empty one; with `lower`, A-Z become a-z."""
     start, held, size = 0, [], 0
