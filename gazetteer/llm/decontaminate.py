@@ -50,11 +50,12 @@ def rarest_first(windows: DataFrame, doc_words: DataFrame, small: bool) -> DataF
 
 
 def window_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """For each row of `docs` one row with `start` null that carries doc_id and n_words, and one row for each occurrence
-    of an item's window in it: row (which row it is), doc_id, n_words, item_id, start, length (in words, start from 0)."""
+    """For each row of `docs` (row, doc_id, text; `row` tells rows apart) one row with `start` null that carries doc_id and
+    n_words, and one row for each occurrence of an item's window in it: row, doc_id, n_words, item_id, start, length (in
+    words, start from 0)."""
     windows = written(item_windows(items, window))
     small = windows.count() <= most_broadcast
-    worded = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words_of(F.col("text")).alias("w"))
+    worded = docs.select("row", "doc_id", words_of(F.col("text")).alias("w"))
     prefix = written(rarest_first(windows, worded, small))
     base = (F.col("word").isNull()).alias("base")
     if small:
@@ -85,7 +86,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_
     A null text has no words and is clean; repeated rows get a row each; an item that repeats counts once; null item
     texts have no windows; without items all documents are clean.  A text's hits meet in the task of that text.
     """
-    hits = window_hits(docs, items, window, most_broadcast)
+    hits = window_hits(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), items, window, most_broadcast)
     span = F.when(F.col("start").isNotNull(), F.struct(F.col("start").alias("start"), (F.col("start") + F.col("length")).alias("end")))
     each = hits.groupBy("row").agg(F.first("doc_id", ignorenulls=True).alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_set(span).alias("spans"), F.collect_set(F.col("item_id").cast("string")).alias("items"))
     n_hit = covered(F.col("spans"))
@@ -96,7 +97,13 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """The rows of `docs`, all columns, whose text holds no window of any item."""
-    kept = written(docs)
-    hits = window_hits(kept, items, window, most_broadcast).where(F.col("start").isNotNull()).select("row").distinct()
-    return kept.withColumn("row", F.monotonically_increasing_id()).join(hits, "row", "left_anti").drop("row")
+    """The rows of `docs`, all columns, whose text holds no window of any item.
+
+    Hits are told by two hashes of the text, as equal texts have equal hits.  While they are few the documents are
+    filtered where they are read; beyond `most_broadcast` they are shuffled to the hits.
+    """
+    key = F.struct(F.xxhash64("text").alias("a"), F.crc32(F.col("text").cast("binary")).alias("b"))
+    hits = window_hits(docs.select(key.alias("row"), "doc_id", "text"), items, window, most_broadcast).where(F.col("start").isNotNull())
+    hits = written(hits.select("row").distinct())
+    gone = F.broadcast(hits) if hits.count() <= most_broadcast else hits
+    return docs.withColumn("row", key).join(gone, "row", "left_anti").drop("row")

@@ -29,7 +29,7 @@ SEQUENCE, GRAIN = 4096, 8
 #: The program stops when its bound is within this share of its value, or after so many columns.
 GAP, MOST_COLUMNS = 5e-4, 4000
 #: Words kept with their ids by a worker; the store is emptied when it is full.
-MOST_CACHED = 400_000
+MOST_CACHED = 200_000
 
 
 # --- the linear program ------------------------------------------------------------------------------------------------

@@ -48,11 +48,25 @@ class Powers:
         return cls.up, cls.down
 
 
+def trim() -> None:
+    """Gives free memory back, so that workers that wait for their next task leave it to the others."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batches, rows: int = 1024):
     """Arrow batches in slices of at most so many rows, so that what a task holds as Python objects stays small."""
     for batch in batches:
         for a in range(0, batch.num_rows, rows):
             yield batch.slice(a, rows)
+    trim()
 
 
 def batches(texts: list, limit: int = 1 << 20, lower: bool = True):
