@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .plans import suite
+
 
 def queries() -> dict:
-    return {}
+    return suite.queries()
 
 
 def oracle_sql() -> dict:
-    return {}
+    return suite.oracle_sql()
