@@ -30,10 +30,10 @@ from .graph import components
 FREQUENCY_BITS = 18
 #: Bits of the table of candidates' ids that saves hashing texts which no pair needs; what passes wrongly is joined away.
 NEEDED_BITS = 20
-#: Holders are verified against hubs while the pairs left would be more than so many times the rows left.
-ROUND_GAIN = 2
+#: Holders are verified against hubs if the pairs left would be more than so many times the rows left.
+ROUND_GAIN = 8
 #: Hash ranges of the suffix bound.
-RANGES = 16
+RANGES = 128
 
 
 def least_overlap(n: int, m: int, threshold: Fraction) -> int:
@@ -70,12 +70,12 @@ def _describe(n: int):
 
     def run(batches):
         counts = np.zeros(1 << FREQUENCY_BITS, np.int64)
-        names, ranges_of = ["counted", "doc_id", "n", "node", "ranges"], pa.list_(pa.int32())
+        names, ranges_of = ["counted", "doc_id", "n", "node", "ranges"], pa.list_(pa.int16())
         for batch in tb.slices(batches):
             sizes, nodes, ranges, held = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows, []
             for i, s in _sets(batch, n):
                 sizes[i], nodes[i] = len(s), node_of(s)
-                ranges[i] = np.bincount((s % np.uint64(RANGES)).astype(np.int64), minlength=RANGES).astype(np.int32)
+                ranges[i] = np.bincount((s % np.uint64(RANGES)).astype(np.int64), minlength=RANGES).clip(max=32767).astype(np.int16)
                 held.append(s)
             if held:
                 counts += np.bincount(_bucket(np.concatenate(held)), minlength=len(counts))
@@ -177,7 +177,7 @@ class JaccardJoin:
     def __init__(self, docs: DataFrame, words: int, threshold: Fraction):
         self.docs, self.words, self.t = docs.select("doc_id", "text"), words, threshold
         id_type = docs.schema["doc_id"].dataType.simpleString()
-        told = written(self.docs.mapInArrow(_describe(words), f"counted boolean, doc_id {id_type}, n long, node long, ranges array<int>"))
+        told = written(self.docs.mapInArrow(_describe(words), f"counted boolean, doc_id {id_type}, n long, node long, ranges array<smallint>"))
         self.nodes = told.where(~F.col("counted")).drop("counted")
         counts = told.where("counted").groupBy("doc_id").agg(F.sum("n").alias("n"))
         rank = np.zeros(1 << FREQUENCY_BITS, np.uint8)
@@ -186,6 +186,10 @@ class JaccardJoin:
         prefixes = written(self.docs.mapInArrow(_prefixes(words, threshold, rank), "token long, place int, n int, node long, short boolean"))
         self.holders = self.in_company(prefixes)
         discard(prefixes)
+        # What pairs are judged by, of the nodes that can be in one: a range's count that is at its limit bounds nothing.
+        described = self.nodes.where(F.col("node").isNotNull()).join(self.holders.select("node").distinct(), "node", "left_semi")
+        self.described = written(described.groupBy("node").agg(F.min("n").alias("n"), F.min("ranges").alias("ranges"), F.min("doc_id").alias("doc_id")))
+        self.tested: DataFrame | None = None
 
     def in_company(self, rows: DataFrame) -> DataFrame:
         """The holders that share a shingle, each with the `next` one in a random order of the shingle's own.  A shingle's
@@ -202,10 +206,13 @@ class JaccardJoin:
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of nodes that are links, each looked at once: the suffix bound first, then whole sets."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        described = self.nodes.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("n").alias("n"), F.min("ranges").alias("ranges"), F.min("doc_id").alias("doc_id"))
-        side = lambda k: described.select(*[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "ranges", "doc_id")])
+        if self.tested is not None:
+            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
+        pairs = written(pairs)
+        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
+        side = lambda k: self.described.select(*[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "ranges", "doc_id")])
         both = pairs.join(side("a"), F.col("a") == F.col("node_a")).join(side("b"), F.col("b") == F.col("node_b"))
-        most = F.aggregate(F.zip_with("ranges_a", "ranges_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+        most = F.aggregate(F.zip_with("ranges_a", "ranges_b", lambda x, y: F.when((x == 32767) | (y == 32767), F.lit(1 << 30)).otherwise(F.least(x, y).cast("int"))), F.lit(0).cast("long"), lambda x, y: x + y)
         left = written(both.where(most >= self.overlap(F.col("n_a"), F.col("n_b"))).select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "doc_id_a", "doc_id_b"))
         marks = left.select(_bit(F.col("doc_id_a")).alias("bit")).unionByName(left.select(_bit(F.col("doc_id_b")).alias("bit")))
         words = marks.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
@@ -226,15 +233,12 @@ class JaccardJoin:
     def links(self) -> DataFrame:
         """Enough links (a, b) between nodes to give the components that all links give."""
         pairs = self.holders.where(F.col("next").isNotNull()).select(F.col("node").alias("a"), F.col("next").alias("b"))
-        found, most = None, None
-        while True:
-            new = self.verified(pairs)
-            found = new if found is None else found.unionByName(new)
-            held, rows, left = self.labelled(found)
-            # Another cheap round while all pairs left are far more than the rows left, and the last one helped.
-            if left <= ROUND_GAIN * rows or (most is not None and left > 0.8 * most):
-                return found.unionByName(self.verified(self.crossing(held)))
-            pairs, most = self.hubs(held, found), left
+        found = self.verified(pairs)
+        held, rows, left = self.labelled(found)
+        if left > ROUND_GAIN * rows:  # families whose members are not all joined yet
+            found = found.unionByName(self.verified(self.hubs(held, found)))
+            held, *_ = self.labelled(found)
+        return found.unionByName(self.verified(self.crossing(held)))
 
     def labelled(self, links: DataFrame) -> tuple[DataFrame, int, int]:
         """The holders of shingles that holders of more than one component share, with `root`, and `most`: the component
