@@ -104,6 +104,6 @@ def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, mos
     """
     key = F.struct(F.xxhash64("text").alias("a"), F.crc32(F.col("text").cast("binary")).alias("b"))
     hits = window_hits(docs.select(key.alias("row"), "doc_id", "text"), items, window, most_broadcast).where(F.col("start").isNotNull())
-    hits = written(hits.select("row").distinct())
+    hits = written(hits.select(F.col("row").alias("_hit_text")).distinct())
     gone = F.broadcast(hits) if hits.count() <= most_broadcast else hits
-    return docs.withColumn("row", key).join(gone, "row", "left_anti").drop("row")
+    return docs.withColumn("_hit_text", key).join(gone, "_hit_text", "left_anti").select(*docs.columns)
