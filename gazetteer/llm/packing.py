@@ -28,8 +28,9 @@ from .common import written
 SEQUENCE, GRAIN = 4096, 8
 #: The program stops when its bound is within this share of its value, or after so many columns.
 GAP, MOST_COLUMNS = 5e-4, 4000
-#: Words kept with their ids by a worker; the store is emptied when it is full.
-MOST_CACHED = 200_000
+#: Words kept with their ids by a worker, in each of two generations: when the younger is full it becomes the older, and a
+#: word that is met again comes back, so frequent words stay.
+MOST_CACHED = 250_000
 
 
 # --- the linear program ------------------------------------------------------------------------------------------------
@@ -155,16 +156,20 @@ class WordTokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
 
     def encode(self, raws: list[bytes]) -> list[bytes]:
         texts = [r.split() for r in raws]
-        new = [w for w in {w for words in texts for w in words} if w not in self.known]
-        if len(self.known) + len(new) > MOST_CACHED:
-            self.known.clear()
-            new = list({w for words in texts for w in words})
-        found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found))
+        met = {w for words in texts for w in words}
+        if len(self.known) > MOST_CACHED:
+            self.older, self.known = self.known, {}
+        new = [w for w in met if w not in self.known]
+        again = [w for w in new if w in self.older]
+        self.known.update((w, self.older[w]) for w in again)
+        new = [w for w in new if w not in self.older] if again else new
+        if new:
+            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
+            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found))
         known = self.known
         return [b"".join([known[w] for w in words]) for words in texts]
 
