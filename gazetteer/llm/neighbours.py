@@ -6,7 +6,8 @@ query's candidates are the rows within a window of places around it on any curve
 computed on the original vectors, and the best of all windows are merged.
 
 A curve's order is a range partitioning cut into blocks of rows; a query goes to the blocks that its window meets, so
-work is spread over (curve, block) and no block is larger than the block size.  Equal vectors are one row with the
+work is spread over (curve, block).  Blocks are as wide as half a window at least, and stream through their tasks: a
+query has few partial results however wide its window is, and no task holds a block.  Equal vectors are one row with the
 smallest of their ids, so copies neither crowd windows nor meet in one task.
 
 How wide windows must be depends on the data: vectors without low-dimensional structure need wide ones.  So the width
@@ -25,7 +26,7 @@ from .common import written
 
 #: Curves, components that each orders by, bits of each component.
 CURVES, COMPONENTS, BITS = 8, 8, 8
-#: Rows of a block, and blocks whose queries are asked together.
+#: Rows of a block at least, and such blocks whose queries are asked together.
 BLOCK, GROUP = 4096, 16
 #: Queries that calibrate the window, and the share of their neighbours that it must hold.
 SAMPLE, WANTED = 64, 0.985
@@ -109,28 +110,56 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _best(k: int):
-    """Of a block's rows and the queries that meet it: each query's k best rows."""
-
-    def run(key, rows: pa.Table, asked: pa.Table) -> pa.Table:
-        schema = pa.schema([("query", pa.int64()), ("uid", pa.int64()), ("score", pa.float64())])
-        if not rows.num_rows or not asked.num_rows:
-            return schema.empty_table()
-        x, ids = _matrix(rows.column("vector")), rows.column("uid").to_numpy()
-        order = np.argsort(ids)
-        x, ids = x[order], ids[order]
-        place, out = rows.column("place").to_numpy()[order], []
-        for a in range(0, asked.num_rows, 512):
-            part = asked.slice(a, 512)
-            q, low, high = _matrix(part.column("asked")), part.column("low").to_numpy(), part.column("high").to_numpy()
-            s = q @ x.T
-            s[(place[None, :] < low[:, None]) | (place[None, :] > high[:, None])] = -np.inf
-            n = min(k + 4, len(ids))  # some to spare: the exact products below may differ in the last bit
+    """Each query's k best rows of its window in one block.  Rows come sorted by (curve, block, group, kind), a group's
+    queries before the block's rows; the rows stream past, so that a task holds a group's queries and their best only."""
+    schema = pa.schema([("query", pa.int64()), ("uid", pa.int64()), ("score", pa.float64())])
+
+    def emit(asked, ids, scores):
+        if not len(asked):
+            return
+        who, at = np.nonzero(scores > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(asked[who]), pa.array(ids[who, at]), pa.array(scores[who, at])], schema=schema)
+
+    def merge(q, low, high, ids, scores, part):
+        x, own, place = _matrix(part.column("vector")), part.column("uid").to_numpy(), part.column("low").to_numpy()
+        n = min(k + 4, len(own))  # some to spare: the exact products below may differ in the last bit
+        for a in range(0, len(q), 512):
+            b = min(a + 512, len(q))
+            s = q[a:b] @ x.T
+            s[(place[None, :] < low[a:b, None]) | (place[None, :] > high[a:b, None])] = -np.inf
             top = np.argpartition(-s, n - 1, axis=1)[:, :n]
-            who = np.repeat(np.arange(len(q)), n)
-            fine = s[who, top.reshape(-1)] > -np.inf
-            who, top = who[fine], top.reshape(-1)[fine]
-            out.append(pa.table([part.column("query").take(pa.array(who)), pa.array(ids[top]), pa.array(products(q[who], x[top]))], schema=schema))
-        return pa.concat_tables(out)
+            near = products(np.repeat(q[a:b], n, axis=0), x[top.reshape(-1)]).reshape(b - a, n)
+            near[np.take_along_axis(s, top, 1) == -np.inf] = -np.inf
+            all_scores, all_ids = np.hstack([scores[a:b], near]), np.hstack([ids[a:b], own[top]])
+            order = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
+            scores[a:b], ids[a:b] = np.take_along_axis(all_scores, order, 1), np.take_along_axis(all_ids, order, 1)
+
+    def run(batches):
+        at, parts, open_ = None, [], False
+        asked = q = low = high = ids = scores = None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("curve", "block", "group", "kind")])
+            cuts = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [batch.num_rows]])
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if a == b:
+                    continue
+                part, key, kind = batch.slice(a, b - a), tuple(keys[:3, a]), keys[3, a]
+                if key != at:
+                    if open_:
+                        yield from emit(asked, ids, scores)
+                    at, parts, open_ = key, [], False
+                if kind == 0:
+                    parts.append(part)
+                elif parts or open_:
+                    if not open_:
+                        asked = np.concatenate([p.column("uid").to_numpy() for p in parts])
+                        q = np.vstack([_matrix(p.column("vector")) for p in parts])
+                        low, high = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("low", "high"))
+                        ids, scores = np.zeros((len(q), k), np.int64), np.full((len(q), k), -np.inf)
+                        parts, open_ = [], True
+                    merge(q, low, high, ids, scores, part)
+        if open_:
+            yield from emit(asked, ids, scores)
 
     return run
 
@@ -190,14 +219,15 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, curves: int = CURVES, wan
     keyed = rows.select("uid", "vector").mapInArrow(_keys(rotation, shifts, longest, 3.0 * longest / np.sqrt(dim), BITS), "curve int, key long, uid long")
     placed = written(_places(keyed))
     window = _window(rows, placed, k, total, wanted)
-    span = block * GROUP  # queries go by their own places, so that no group is larger than a block and a span
+    block = max(block, window)  # a window meets three blocks at most, however wide it is
+    span = BLOCK * GROUP  # queries go by their own places, so that no task holds more of them than a span has rows
     low, high = F.greatest(F.col("place") - window, F.lit(0)), F.least(F.col("place") + window, F.lit(total - 1))
     start = F.col("block") * block
     groups = F.sequence(F.floor(F.greatest(start - window, F.lit(0)) / span), F.floor(F.least(start + (block - 1 + window), F.lit(total - 1)) / span))
-    blocks = placed.withColumn("block", F.floor(F.col("place") / block)).join(rows, "uid").select("curve", "block", F.explode(groups).alias("group"), "place", "uid", "vector")
-    asked = placed.join(rows.where("asked"), "uid").select("curve", F.explode(F.sequence(F.floor(low / block), F.floor(high / block))).alias("block"), F.floor(F.col("place") / span).alias("group"), low.alias("low"), high.alias("high"), "uid", "vector")
-    asked = asked.toDF("q_curve", "q_block", "q_group", "low", "high", "query", "asked")
-    found = blocks.groupBy("curve", "block", "group").cogroup(asked.groupBy("q_curve", "q_block", "q_group")).applyInArrow(_best(k + 1), "query long, uid long, score double")
+    asked = placed.join(rows.where("asked"), "uid").select("curve", F.explode(F.sequence(F.floor(low / block), F.floor(high / block))).alias("block"), F.floor(F.col("place") / span).alias("group"), F.lit(0).alias("kind"), low.alias("low"), high.alias("high"), "uid", "vector")
+    blocks = placed.withColumn("block", F.floor(F.col("place") / block)).join(rows, "uid").select("curve", "block", F.explode(groups).alias("group"), F.lit(1).alias("kind"), F.col("place").alias("low"), F.col("place").alias("high"), "uid", "vector")
+    met = asked.unionByName(blocks).repartition("curve", "block", "group").sortWithinPartitions("curve", "block", "group", "kind")
+    found = met.mapInArrow(_best(k + 1), "query long, uid long, score double")
     best = written(_top(found.distinct(), k + 1))
     # Back to ids: each query takes the ids of its vector's best rows but its own.
     offered = best.join(kept, "uid").select("query", "vec_id", "score")
