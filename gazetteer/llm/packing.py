@@ -31,7 +31,7 @@ SEQUENCE, GRAIN = 4096, 8
 GAP, MOST_COLUMNS = 5e-4, 4000
 #: Words kept with their ids by a worker, in each of two generations: when the younger is full it becomes the older, and a
 #: word that is met again comes back, so frequent words stay.
-MOST_CACHED = 250_000
+MOST_CACHED = 150_000
 
 
 # --- the linear program ------------------------------------------------------------------------------------------------
@@ -157,6 +157,15 @@ _MARK = re.compile(rb"(?<=[a-z0-9])([.,])(?=[ \t\n\r\x0b\x0c])")
 class WordTokens:
     """Token ids of words as little-endian bytes, for a tokenizer that drops white space and never joins across it."""
 
+    _own: dict[str, WordTokens] = {}
+
+    @classmethod
+    def of(cls, path: str) -> WordTokens:
+        """The worker's own, which its next tasks find with the words it has met."""
+        if path not in cls._own:
+            cls._own[path] = cls(path)
+        return cls._own[path]
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -194,7 +203,7 @@ def _pieces(path: str, end: int, sequence: int, grain: int):
     def run(batches):
         from pyspark import TaskContext
 
-        part, tokens, tail = TaskContext.get().partitionId(), WordTokens(path), np.array([end], "<u4").tobytes()
+        part, tokens, tail = TaskContext.get().partitionId(), WordTokens.of(path), np.array([end], "<u4").tobytes()
         ranks = np.zeros(sequence // grain + 1, np.int64)
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "class", "rank"]
         for batch in tb.slices(batches):

@@ -233,3 +233,12 @@ def test_empty_tables(spark):
         neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), lambda c: c == 0),
     ]
     assert [r.count() for r in results] == [0] * len(results)
+
+
+def test_word_tokens_are_those_of_the_whole_text():
+    path = queries.tokenizer_path()
+    words = packing.WordTokens(path)
+    texts = ["Hi. A, b.c ?. x., It's. <|ENDOFTEXT|>. K. Á, 9. 9.\n", "<|endoftext|> a<|endoftext|>b Y.", "İ. I, X.̸ .", "Wow... It'S, e.g. 3,4. 5, ß. (a). \"b\", end.", "", " \t\n", "日本語. Éa, x̸,"]
+    for _ in range(2):  # the second time from the cache
+        for text, got in zip(texts, words.encode([t.encode() for t in texts])):
+            assert np.frombuffer(got, "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
