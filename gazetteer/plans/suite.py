@@ -114,7 +114,7 @@ _SEG = f"SELECT cid, id, x1 + t*(x2-x1) AS qx, y1 + t*(y2-y1) AS qy, lon, lat FR
 
 @query(f"WITH {STREETS}, {PTS}, n AS ({_SEG}), d AS (SELECT *, (lon-qx)*(lon-qx)+(lat-qy)*(lat-qy) AS d2 FROM n) SELECT cid, id AS street_id, CAST(round(sqrt(d2)*1e6) AS BIGINT) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY d2, id) AS r FROM d WHERE d2 <= 2.25e-2) WHERE r = 1")
 def nearest_street(f):
-    out = sp.match_houses(f.points().where("cid % 10 = 0").withColumn("addr_street", F.lit(None).cast("string")), f.streets(), "cid", 0.15)
+    out = sp.match_houses(f.points().withColumn("addr_street", F.lit(None).cast("string")), f.streets(), "cid", 0.15)
     j = out.join(f.points(), "cid")
     return j.select("cid", "street_id", micro(F.sqrt(F.pow(F.col("lon") - F.col("x"), 2) + F.pow(F.col("lat") - F.col("y"), 2))).alias("dist"))
 
@@ -517,10 +517,8 @@ def polyline_length_bbox(f):
 @query(f"WITH {STREETS}, {PTS}, n AS ({_SEG}) SELECT cid, id, CAST(round(qx*1e6) AS BIGINT) AS x, CAST(round(qy*1e6) AS BIGINT) AS y FROM n WHERE id < 40")
 def closest_point_on_line(f):
     line = F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))
-    few = f.streets().where("id < 40").select("id", line.alias("line")).agg(F.collect_list(F.struct("id", "line")).alias("s"))
-    pairs = f.points().where("cid % 10 = 0").withColumn("k", F.lit(1)).join(few.withColumn("k", F.lit(1)), "k").select("cid", "lon", "lat", F.explode("s").alias("s"))
-    near = geo.closest_on_line(F.col("s.line"), F.col("lon"), F.col("lat"))
-    return pairs.withColumn("n", near).select("cid", F.col("s.id").alias("id"), micro(F.col("n.x")).alias("x"), micro(F.col("n.y")).alias("y"))
+    pairs = sp.box_join(f.points(), sp.with_box(f.streets()), sp.STREET_WINDOW).withColumn("n", geo.closest_on_line(line, F.col("lon"), F.col("lat")))
+    return pairs.select("cid", "id", micro(F.col("n.x")).alias("x"), micro(F.col("n.y")).alias("y"))
 
 
 @query()

@@ -1,0 +1,25 @@
+"""Queries over all rows of their tables, where the registered SQL asks for a part: the SQL without its filter must agree."""
+
+import pytest
+
+from gazetteer import registry
+
+from .test_registry import DIR, duck, normal  # noqa: F401
+
+#: Query, and what of its SQL gives way to what.
+WINDOW = "WHERE least(x1,x2) <= lon+1e-1 AND greatest(x1,x2) >= lon-1e-1 AND least(y1,y2) <= lat+1e-1 AND greatest(y1,y2) >= lat-1e-1"
+CUTS = {
+    "nearest_street": [("WHERE cid % 10 = 0", "")],
+    "closest_point_on_line": [("WHERE cid % 10 = 0", WINDOW), ("WHERE id < 40", "")],  # the reference looks no farther
+}
+
+
+@pytest.mark.parametrize("name", CUTS)
+def test_same_as_sql_without_cuts(spark, duck, name):  # noqa: F811
+    sql = registry.oracle_sql()[name]
+    for cut, put in CUTS[name]:
+        sql = sql.replace(cut, put)
+    found = duck.execute(sql)
+    columns = [c[0] for c in found.description]
+    got = sorted(tuple(normal(r[c]) for c in columns) for r in registry.queries()[name](spark, DIR).collect())
+    assert got == sorted(tuple(map(normal, r)) for r in found.fetchall())
