@@ -186,7 +186,7 @@ _STREET_HOUSES = "h AS (SELECT l_orderkey % 50 AS street_id, l_partkey * 100 + l
 
 
 def _houses(f):
-    return f.table("lineitem").where("l_orderkey % 97 = 1").groupBy(F.expr("l_orderkey % 50").alias("street_id"), F.expr("l_partkey * 100 + l_suppkey").alias("node_id")).agg(F.expr("cast(min(l_partkey % 300) as string)").alias("number"), F.expr("min(l_suppkey / 1e1)").alias("x"), F.expr("min(l_linenumber / 1e0)").alias("y"))
+    return f.table("lineitem").groupBy(F.expr("l_orderkey % 50").alias("street_id"), F.expr("l_partkey * 100 + l_suppkey").alias("node_id")).agg(F.expr("cast(min(l_partkey % 300) as string)").alias("number"), F.expr("min(l_suppkey / 1e1)").alias("x"), F.expr("min(l_linenumber / 1e0)").alias("y"))
 
 
 @query(f"""WITH {_STREET_HOUSES}, a AS (SELECT DISTINCT street_id, street_id * 5 AS w FROM h),
@@ -238,7 +238,7 @@ _REFS = "refs AS (SELECT l_orderkey AS way_id, l_partkey AS node_id, row_number(
 
 
 def _ways(f):
-    l = f.table("lineitem").where("l_orderkey % 5 = 0")
+    l = f.table("lineitem")
     refs = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))), lambda r: r["l_partkey"])
     return l.groupBy(F.col("l_orderkey").alias("way_id")).agg(refs.alias("refs"))
 

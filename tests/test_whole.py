@@ -11,6 +11,9 @@ WINDOW = "WHERE least(x1,x2) <= lon+1e-1 AND greatest(x1,x2) >= lon-1e-1 AND lea
 CUTS = {
     "nearest_street": [("WHERE cid % 10 = 0", "")],
     "closest_point_on_line": [("WHERE cid % 10 = 0", WINDOW), ("WHERE id < 40", "")],  # the reference looks no farther
+    "way_coords": [("WHERE l_orderkey % 5 = 0", "")],
+    "relation_coords": [("WHERE l_orderkey % 5 = 0", "")],
+    "house_number_interpolated": [("WHERE l_orderkey % 97 = 1", "")],
 }
 
 
