@@ -2,12 +2,14 @@
 
 The probability of a token is that of its class after the class before it, times that of the token in its class.  Words
 are assigned to classes by the exchange algorithm: a word moves to the class that raises the likelihood of the training
-text most, sweep after sweep.  It runs over a fixed number of units, the most frequent words and, for all other words,
-their endings; a word without a unit of its own has its ending's class, and a probability in that unit by its count.
-What training has not seen is one more word of each unit, with the mass that words seen once have (Good-Turing).
-
-All counts cover all training texts.  Count tables of fixed size go to every task; counts of the rare words (outside the
-`KNOWN` most frequent) stay distributed and meet the tokens that need them in a join.
+text most.  It begins, sweep after sweep, with the most frequent words and, for all others, their endings.  Then every
+other word that occurs `LEAST` times is moved by its own counts of classes before and after it, all words of a round at
+once, and a round stays if the likelihood has risen.  Words too rare for that have their ending's class, and a
+probability in its unit by their count.  What training has not seen is one more word of each unit, with the mass that
+words seen once have (Good-Turing).
+
+All counts cover all training texts.  The clustered words, with classes and counts, go to every task (17 bytes a word);
+counts of the rare words stay distributed and meet the tokens that need them in a join.
 """
 
 from __future__ import annotations
@@ -20,12 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import remainder, written
+from .common import discard, remainder, written
 
 #: Most frequent words, endings, and classes of the clustering.
 HEADS, ENDINGS, CLASSES, SWEEPS = 768, 255, 64, 5
-#: Most frequent words whose counts every task holds (16 bytes each).
-KNOWN = 1 << 18
+#: Occurrences from which a word is clustered by its own counts, and rounds in which that is done.
+LEAST, ROUNDS = 32, 2
 #: A task's counts are passed on when it holds so many different words.
 MOST_HELD = 1 << 21
 
@@ -98,10 +100,6 @@ class Units:
     def of(self, hashes: np.ndarray, code: np.ndarray) -> np.ndarray:
         return np.where((h := _place(self.heads, hashes)) >= 0, 1 + h, 1 + len(self.heads) + np.where((e := _place(self.endings, code)) >= 0, e, -1 - len(self.heads)))
 
-    def alone(self, unit: np.ndarray) -> np.ndarray:
-        """Whether the unit is one word."""
-        return (unit >= 1) & (unit <= len(self.heads))
-
 
 def _place(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Where each wanted value is in the sorted keys, or -1."""
@@ -184,63 +182,228 @@ def exchange(counts: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -
     return of
 
 
+def _h(x):
+    return x * np.log(np.maximum(x, 1))
+
+
+def _likelihood(pair: np.ndarray) -> float:
+    """Of a table of class pairs, but for what no assignment changes."""
+    return float(_h(pair).sum() - _h(pair.sum(axis=0)).sum() - _h(pair.sum(axis=1)).sum())
+
+
+@dataclass
+class Classes:
+    """Clustered words by hash, sorted, with their classes; all other words' classes by their endings' units."""
+
+    hashes: np.ndarray
+    of: np.ndarray  # class of word
+    rest: Units  # no heads
+    of_rest: np.ndarray  # class of ending's unit
+    k: int
+
+    def find(self, hashes: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each token its place among the clustered words or -1, its ending's unit and its class."""
+        at, unit = _place(self.hashes, hashes), self.rest.of(hashes, code)
+        return at, unit, np.where(at >= 0, self.of[at], self.of_rest[unit]).astype(np.int64)
+
+
+def _contexts(shared, words: bool):
+    """(word, ctx, n): for the clustered words that are no heads counts by class after the word (ctx from 0), class before
+    it (from k), and of the word after itself (2k), which the others leave out; for a pair of classes word is -1 - pair."""
+
+    def rows(keys: np.ndarray, n: np.ndarray, width: int):
+        for a in range(0, len(keys), 1 << 18):
+            k = keys[a : a + (1 << 18)]
+            yield pa.RecordBatch.from_arrays([pa.array((k // width).astype(np.int32)), pa.array((k % width).astype(np.int16)), pa.array(n[a : a + (1 << 18)])], ["word", "ctx", "n"])
+
+    def merged(held):
+        key, n = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        return key[first], np.add.reduceat(n, first) if len(first) else n
+
+    def run(batches):
+        known, moves = shared.value
+        k = known.k
+        width, pairs = 2 * k + 1, np.zeros(k * k, np.int64)
+        held, size = [], 0
+        end = [x[0] for x in known.find(np.array([END]), np.array([END_CODE]))]
+        for batch in tb.slices(batches):
+            for _, _, raws in tb.batches(batch.column("text").to_pylist()):
+                at, _, c = known.find(*_tokens(raws)[:2])
+                pairs += np.bincount(np.append(end[2], c[:-1]) * k + c, minlength=k * k)
+                if not words:
+                    continue
+                before, after = np.append(end[0], at[:-1]), at
+                own = (before == after) & (before >= 0)
+                cb = np.append(end[2], c[:-1])
+                one = (after >= 0) & moves[after] & ~own
+                two = (before >= 0) & moves[before] & ~own
+                own &= moves[after]
+                keys = np.concatenate([after[one] * width + k + cb[one], before[two] * width + c[two], after[own] * width + 2 * k])
+                held.append(merged([(keys, np.ones(len(keys), np.int64))]))
+                size += len(held[-1][0])
+                if size > MOST_HELD:
+                    held = [merged(held)]
+                    size = len(held[0][0])
+                    if size > MOST_HELD // 2:
+                        yield from rows(*held[0], width)
+                        held, size = [], 0
+        if held:
+            yield from rows(*merged(held), width)
+        met = np.flatnonzero(pairs)
+        yield pa.RecordBatch.from_arrays([pa.array((-1 - met).astype(np.int32)), pa.array(np.zeros(len(met), np.int16)), pa.array(pairs[met])], ["word", "ctx", "n"])
+
+    return run
+
+
+def best_classes(pair: np.ndarray, own: np.ndarray, word: np.ndarray, ctx: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For words of the classes `own` the class with the largest likelihood, as in `exchange`, the other words staying
+    where they are.  Entries (word, ctx, n) are sorted by word, which counts from 0, with contexts as in `_contexts`."""
+    k, w = len(pair), len(own)
+    whole = np.zeros((w, 2 * k + 1))
+    whole[word, ctx] = n
+    t, b, self_n = whole[:, :k], whole[:, k : 2 * k], whole[:, 2 * k]
+    gain, each = np.zeros((w, k)), np.arange(w)
+    for first, table, mine, other in ((0, pair.T, t, b), (k, pair, b, t)):
+        at, c = np.nonzero(mine)
+        if not len(at):
+            continue
+        add = mine[at, c]
+        rest = table[c].astype(float)  # the pair counts without the word
+        rest[np.arange(len(at)), own[at]] -= add
+        same = np.flatnonzero(c == own[at])
+        rest[same] -= other[at[same]]
+        rest[same, own[at[same]]] -= self_n[at[same]]
+        starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        gain[at[starts]] += np.add.reduceat(_h(rest + add[:, None]) - _h(rest), starts, axis=0)
+    corner = np.repeat(np.diag(pair)[None, :].astype(float), w, axis=0)
+    corner[each, own] -= t[each, own] + b[each, own] + self_n
+    s = self_n[:, None]
+    gain += _h(corner + t + b + s) - _h(corner + t) - _h(corner + b) + _h(corner)
+    for axis, out in ((1, t.sum(axis=1) + self_n), (0, b.sum(axis=1) + self_n)):
+        side = np.repeat(pair.sum(axis=axis)[None, :].astype(float), w, axis=0)
+        side[each, own] -= out
+        gain -= _h(side + out[:, None]) - _h(side)
+    best = gain.argmax(axis=1)
+    return np.where(gain[each, best] > gain[each, own] + 1e-9, best, own)
+
+
+def _moved(shared):
+    """(word, class) of the words that move."""
+
+    def run(batches):
+        pair, of = shared.value
+        for whole in batches:
+            for a in range(0, whole.num_rows, 4096):
+                batch = whole.slice(a, 4096)
+                words = batch.column("word").to_numpy()
+                sizes = batch.column("contexts").value_lengths().to_numpy()
+                flat = batch.column("contexts").flatten()
+                ctx, n = (flat.field(i).to_numpy().astype(np.int64) for i in (0, 1))
+                own = of[words].astype(np.int64)
+                best = best_classes(pair, own, np.repeat(np.arange(len(words)), sizes), ctx, n)
+                go = best != own
+                yield pa.RecordBatch.from_arrays([pa.array(words[go]), pa.array(best[go].astype(np.int32))], ["word", "to"])
+
+    return run
+
+
+def _clustered(docs: DataFrame, known: Classes, heads: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each clustered word after the rounds, and the counts of class pairs; heads stay where they are."""
+    spark, texts, best = docs.sparkSession, docs.select("text"), None
+    moves = _place(heads, known.hashes) < 0
+    rounds = rounds if moves.any() else 0
+    for r in range(rounds + 1):
+        shared = spark.sparkContext.broadcast((known, moves))
+        found = texts.mapInArrow(_contexts(shared, r < rounds), "word int, ctx short, n long")
+        told = written(found.groupBy("word", "ctx").agg(F.sum("n").alias("n")))
+        pairs = told.where("word < 0").select("word", "n").toPandas()  # at most classes squared
+        pair = np.zeros(known.k * known.k)
+        pair[-1 - pairs["word"].to_numpy(np.int64)] = pairs["n"].to_numpy()
+        pair = pair.reshape(known.k, known.k)
+        rose = best is None or _likelihood(pair) > _likelihood(best[1])
+        if rose:
+            best = known.of, pair
+        if r < rounds and rose:
+            sent = spark.sparkContext.broadcast((pair, known.of))
+            each = told.where("word >= 0").groupBy("word").agg(F.collect_list(F.struct("ctx", "n")).alias("contexts"))  # 2k + 1 at most
+            go = each.mapInArrow(_moved(sent), "word int, to int").toPandas()
+            of = known.of.copy()
+            of[go["word"].to_numpy(np.int64)] = go["to"].to_numpy()
+            known = Classes(known.hashes, of, known.rest, known.of_rest, known.k)
+        discard(told)
+        shared.unpersist()
+        if not rose:
+            break
+    return best
+
+
 @dataclass
 class ClassModel:
-    """Everything that scoring needs and that has a fixed size."""
+    """Everything that scoring needs but the rare words' counts."""
 
-    units: Units
-    of: np.ndarray  # class of unit
+    known: Classes
+    counts: np.ndarray  # of the clustered words
     step: np.ndarray  # log10 of class after class
-    emit: np.ndarray  # log10 of unit in its class
-    mass: np.ndarray  # tokens of a unit, and what unseen words have of it
+    total: np.ndarray  # log10 of a class's tokens
+    emit: np.ndarray  # log10 of an ending's unit in its class
+    mass: np.ndarray  # tokens of an ending's rare words, and what unseen words have of it
     unseen: np.ndarray
-    hashes: np.ndarray  # the KNOWN most frequent words, sorted, and their counts
-    counts: np.ndarray
     tokens: int
     kinds: int
 
-    def word(self, unit: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """log10 of a word in its unit by its count; 0 is an unseen word."""
-        alone = self.units.alone(unit)
-        return np.where(alone, 0.0, np.log10(np.where(count > 0, count, self.unseen[unit]) / (self.mass[unit] + self.unseen[unit])))
-
     def base(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 1.0) / (self.tokens + self.kinds + 1.0))
 
 
-def train(docs: DataFrame, heads: int = HEADS, endings: int = ENDINGS, classes: int = CLASSES, known: int = KNOWN) -> tuple[ClassModel, DataFrame]:
+def train(docs: DataFrame, heads: int = HEADS, endings: int = ENDINGS, classes: int = CLASSES, least: int = LEAST, rounds: int = ROUNDS) -> tuple[ClassModel, DataFrame]:
     """The model of the texts of `docs`, and the table (key, n) of all words' counts by hash."""
     told = written(docs.select("text").mapInArrow(_count(), "kind byte, key long, code long, n long").groupBy("kind", "key").agg(F.first("code").alias("code"), F.sum("n").alias("n")))
     words = told.where("kind = 0")
     tokens, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = words.orderBy(F.desc("n"), "key").limit(known).select("key", "n").toPandas()
-    key, n = top["key"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    top = [r[0] for r in words.orderBy(F.desc("n"), "key").limit(heads).select("key").collect()]
     ends = [r[0] for r in told.where("kind = 1 and key >= 0").orderBy(F.desc("n"), "key").limit(endings).select("key").collect()]
-    head = np.unique(np.concatenate([key[:heads], [END]]).astype(np.uint64))
+    head = np.unique(np.concatenate([np.array(top, np.int64).view(np.uint64), [END]]).astype(np.uint64))
     units = Units(head, np.array(sorted(ends), np.int64))
     bigrams = docs.select("text").mapInArrow(_bigrams(units), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()  # at most units squared
     counts = np.zeros(units.n * units.n)
     counts[bigrams["pair"].to_numpy(np.int64)] = bigrams["n"].to_numpy()
-    counts = counts.reshape(units.n, units.n)
-    of = exchange(counts, classes)
-    one = np.zeros((units.n, of.max() + 1))
-    one[np.arange(units.n), of] = 1
-    pair = one.T @ counts @ one
+    of = exchange(counts.reshape(units.n, units.n), classes)
+    del counts, bigrams
+    small = F.broadcast(docs.sparkSession.createDataFrame([(int(k),) for k in head.view(np.int64)], "key long"))
+    often = words.where(F.col("n") >= least).select("key", "n").unionByName(words.where(F.col("n") < least).join(small, "key", "left_semi").select("key", "n")).toPandas()
+    key, n = often["key"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64)
+    if END not in key:  # without training texts
+        key, n = np.append(key, END), np.append(n, 0)
+    order = np.argsort(key)
+    key, n = key[order], n[order]
+    rest = Units(np.zeros(0, np.uint64), units.endings)
+    of_rest = np.append(of[0], of[1 + len(head) :])
+    # words begin in their endings' classes, heads in their own
+    codes = words.where(F.col("n") >= least).select("key", "code").toPandas()
+    code = np.full(len(key), END_CODE)
+    code[_place(key, codes["key"].to_numpy(np.int64).view(np.uint64))] = codes["code"].to_numpy(np.int64)
+    at = _place(head, key)
+    first = np.where(at >= 0, of[1 + at], of_rest[rest.of(key, code)]).astype(np.int8 if of.max() < 128 else np.int16)
+    del often, codes
+    known = Classes(key, first, rest, of_rest, int(of.max()) + 1)
+    moved, pair = _clustered(docs, known, head, rounds)
+    known = Classes(key, moved, rest, of_rest, known.k)
     alone = pair.sum(axis=0) + 0.5
     alone /= alone.sum()
     kinds_after = (pair > 0).sum(axis=1, keepdims=True) + 1  # Witten-Bell: as much goes to the class alone
     step = (pair + kinds_after * alone[None, :]) / (pair.sum(axis=1, keepdims=True) + kinds_after)
-    mass = counts.sum(axis=0)
-    emit = (mass + 0.5) / (one.T @ (mass + 0.5))[of]
-    # words seen once, by unit; heads never are among them unless a corpus is tiny
-    ending = F.create_map(*[F.lit(x) for i, c in enumerate(units.endings) for x in (int(c), 1 + len(head) + i)])[F.col("code")] if len(units.endings) else F.lit(None).cast("int")
-    small = docs.sparkSession.createDataFrame([(int(k),) for k in head.view(np.int64)], "key long")
-    once = words.where("n = 1").join(F.broadcast(small), "key", "left_anti").groupBy(F.coalesce(ending, F.lit(0)).alias("unit")).agg(F.count("*")).collect()  # one row a unit
-    unseen = np.full(units.n, 0.5)
-    for u, c in once:
+    # the tokens of the words that are not clustered, and the words seen once, by unit
+    ending = F.create_map(*[F.lit(x) for i, c in enumerate(rest.endings) for x in (int(c), 1 + i)])[F.col("code")] if len(rest.endings) else F.lit(None).cast("int")
+    rare = words.where(F.col("n") < least).join(small, "key", "left_anti").groupBy(F.coalesce(ending, F.lit(0)).alias("unit")).agg(F.sum("n"), F.count(F.when(F.col("n") == 1, 1))).collect()  # one row a unit
+    mass, unseen = np.zeros(rest.n), np.full(rest.n, 0.5)
+    for u, m, c in rare:
+        mass[u] = m
         unseen[u] += c
-    order = np.argsort(key)
-    return ClassModel(units, of, np.log10(step), np.log10(emit), mass, unseen, key[order], n[order], int(tokens), int(kinds)), words.select("key", "n")
+    total = np.bincount(moved, np.maximum(n, 0.5), known.k) + np.bincount(of_rest, mass + 0.5, known.k)
+    return ClassModel(known, n, np.log10(step), np.log10(np.maximum(total, 0.5)), np.log10((mass + 0.5) / total[of_rest]), mass, unseen, int(tokens), int(kinds)), words.select("key", "n")
 
 
 def _score(shared):
@@ -254,15 +417,12 @@ def _score(shared):
             rows = batch.column("row").to_numpy()
             for a, b, raws in tb.batches(batch.column("text").to_pylist()):
                 hashes, code, bounds = _tokens(raws)
-                unit = model.units.of(hashes, code)
-                c = model.of[unit]
+                at, unit, c = model.known.find(hashes, code)
                 before = np.roll(c, 1)
-                before[bounds[:-1]] = model.of[model.units.of(np.array([END]), np.array([END_CODE]))[0]]
-                score = model.step[before, c] + model.emit[unit]
-                at = _place(model.hashes, hashes)
+                before[bounds[:-1]] = model.known.find(np.array([END]), np.array([END_CODE]))[2][0]
                 found = at >= 0
-                count = np.where(found, model.counts[at] if len(model.counts) else 0, 0)
-                score += np.where(found, model.word(unit, count), 0)
+                count = np.where(found, model.counts[at], 0)
+                score = model.step[before, c] + np.where(found, np.log10(np.maximum(count, 0.5)) - model.total[c], model.emit[unit])
                 sums = lambda x: np.add.reduceat(x, bounds[:-1])
                 n = np.diff(bounds)
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b - a, np.int8)), pa.array(rows[a:b]), pa.array(n), pa.array(sums(found.astype(np.int64)).astype(np.int32)), pa.array(np.zeros(b - a, np.int64)), pa.array(sums(np.where(found, model.base(count), 0))), pa.array(sums(score))], names)
@@ -288,13 +448,13 @@ def score_documents(docs: DataFrame, held_out: Column, learned: Column) -> DataF
     """
     spark = docs.sparkSession
     model, words = train(docs.where(learned))
-    shared = spark.sparkContext.broadcast(model)  # tables of fixed size
+    shared = spark.sparkContext.broadcast(model)
     own = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out.alias("held_out"), "text")
     told = written(own.select("row", "text").mapInArrow(_score(shared), "kind byte, row long, key long, unit int, times long, base double, score double"))
     rare = told.where("kind = 1").select("row", "key", "unit", "times").join(words, "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     # a unit's mass and unseen share, as a table of one row a unit
-    facts = spark.createDataFrame([(i, float(m), float(s), bool(a)) for i, (m, s, a) in enumerate(zip(model.mass, model.unseen, model.units.alone(np.arange(model.units.n))))], "unit int, mass double, unseen double, alone boolean")
-    in_unit = F.when(F.col("alone"), F.lit(0.0)).otherwise(F.log10(F.when(F.col("n") > 0, F.col("n").cast("double")).otherwise(F.col("unseen")) / (F.col("mass") + F.col("unseen"))))
+    facts = spark.createDataFrame([(i, float(m), float(u)) for i, (m, u) in enumerate(zip(model.mass, model.unseen))], "unit int, mass double, unseen double")
+    in_unit = F.log10(F.when(F.col("n") > 0, F.col("n").cast("double")).otherwise(F.col("unseen")) / (F.col("mass") + F.col("unseen")))
     of_rare = (
         rare.join(F.broadcast(facts), "unit")
         .groupBy("row")

@@ -153,6 +153,32 @@ def test_exchange_separates_two_languages():
     assert len(set(of[:8])) == len(set(of[8:])) == 1 and of[0] != of[8]
 
 
+def test_best_class_is_that_of_the_whole_likelihood():
+    r = np.random.default_rng(4)
+    n, k = 40, 5
+    counts, of = r.integers(0, 6, (n, n)), r.integers(0, k, n)
+
+    def table(own):
+        one = np.eye(k)[own]
+        return one.T @ counts @ one
+
+    for u in range(n):
+        others = np.delete(np.arange(n), u)
+        t, b = (np.bincount(of[others], x[others], k) for x in (counts[u], counts[:, u]))
+        whole = np.concatenate([t, b, [counts[u, u]]])
+        got = classlm.best_classes(table(of), of[[u]], np.zeros(2 * k + 1, int), np.arange(2 * k + 1), whole)[0]
+        assert got == np.argmax([classlm._likelihood(table(np.where(np.arange(n) == u, g, of))) for g in range(k)])
+
+
+def test_words_beyond_the_heads_have_classes_by_their_own_counts(spark):
+    r = np.random.default_rng(6)
+    sides = [[f"{s}{i}same" for i in range(60)] for s in "ab"]  # one ending, so that it tells nothing
+    rows = [(i, " ".join(f"{r.choice(sides[0])} the {r.choice(sides[1])} of" for _ in range(60))) for i in range(60)]
+    model, _ = classlm.train(spark.createDataFrame(rows, "doc_id long, text string"), heads=2, endings=4, classes=4)
+    own = [{int(model.known.find(*classlm._tokens([w.encode()])[:2])[2][0]) for w in side} for side in sides]
+    assert len(model.known.hashes) == 123 and not own[0] & own[1]
+
+
 def test_language_id(spark):
     r = np.random.default_rng(1)
     make = lambda words: " ".join(r.choice(words, 60))
