@@ -10,14 +10,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from .spatial import containing_boxes
 
 
 def parents(areas: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(id, parent_id): `areas` have id, level, area, lon, lat (the centroid); `candidates` have id, level, area and box.
-    Boxes stand for polygons here; with `rings` the exact containment is checked too."""
-    c = candidates.select(F.col("id").alias("cand_id"), F.col("level").alias("cand_level"), F.col("area").alias("cand_area"), "minx", "miny", "maxx", "maxy")
+    """(id, parent_id): `areas` have id, level, area, lon, lat (the centroid); `candidates` have id, level, area, box and
+    polygons, arrays of rings whose first is the outer one, which must hold the centroid."""
+    c = candidates.select(F.col("id").alias("cand_id"), F.col("level").alias("cand_level"), F.col("area").alias("cand_area"), "minx", "miny", "maxx", "maxy", F.col("polygons").alias("cand_polygons"))
     pairs = containing_boxes(areas, c).where((F.col("cand_id") != F.col("id")) & ((F.col("cand_level") < F.col("level")) | ((F.col("cand_level") == F.col("level")) & (F.col("cand_area") > F.col("area")))))
+    pairs = pairs.where(geo.in_polygons(F.col("lon"), F.col("lat"), F.col("cand_polygons")))
     best = pairs.groupBy("id").agg(F.min(F.struct((-F.col("cand_level")).alias("l"), F.col("cand_area").alias("a"), F.col("cand_id").alias("c"))).alias("b"))
     return best.select("id", F.col("b.c").alias("parent_id"))
 

@@ -127,8 +127,13 @@ _P = """cand AS (SELECT e.id, b.id + 1000000 AS pid, row_number() OVER (PARTITIO
  AND (b.level < e.level OR (b.level = e.level AND b.area > e.area))), parent AS (SELECT id, pid AS parent_id FROM cand WHERE r = 1)"""
 
 
+def _box_ring():
+    pt = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    return F.array(*[pt(x, y) for x, y in (("minx", "miny"), ("maxx", "miny"), ("maxx", "maxy"), ("minx", "maxy"), ("minx", "miny"))])
+
+
 def _areas(f):
-    b = f.bounds().withColumn("area", (F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny"))).withColumn("id", F.col("id").cast("long") + 1000000)
+    b = f.bounds().withColumn("area", (F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny"))).withColumn("id", F.col("id").cast("long") + 1000000).withColumn("polygons", F.array(F.array(_box_ring())))
     own = b.select("id", "name", "level", "area", ((F.col("minx") + F.col("maxx")) / 2).alias("lon"), ((F.col("miny") + F.col("maxy")) / 2).alias("lat"))
     s = f.streets().select("id", "name", F.lit(12).alias("level"), F.lit(0.0).alias("area"), ((F.col("x1") + F.col("x2")) / 2).alias("lon"), ((F.col("y1") + F.col("y2")) / 2).alias("lat"))
     return s.unionByName(own), b
@@ -496,10 +501,7 @@ def friendly_name_template(f):
 
 
 def _square(f):
-    pt = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-    b = f.bounds()
-    ring = F.array(*[pt(F.col(x), F.col(y)) for x, y in (("minx", "miny"), ("maxx", "miny"), ("maxx", "maxy"), ("minx", "maxy"), ("minx", "miny"))])
-    return b.select("id", ring.alias("ring"))
+    return f.bounds().select("id", _box_ring().alias("ring"))
 
 
 @query(f"WITH {fx.BOUNDS_SQL} SELECT id, CAST(round((maxx-minx)*(maxy-miny)*1e6) AS BIGINT) AS area, CAST(-round((maxx-minx)*(maxy-miny)*1e6) AS BIGINT) AS turned FROM bounds")

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gazetteer.functions import text as tx
-from gazetteer.operators import osm
+from gazetteer.operators import hierarchy, osm
 from gazetteer.operators import textindex as ti
 
 
@@ -43,3 +43,13 @@ def test_ranking_of_an_exact_hit(spark):
     best = {r.query_id: (r.doc, r.score) for r in ti.search(index, q, top=1).collect()}
     assert best[0][0] == 1 and best[1][0] == 1 and best[2][0] == 2
     assert best[0][1] > best[1][1]
+
+
+def test_parent_polygon_holds_the_centroid(spark):
+    ring = lambda *ps: [{"x": float(x), "y": float(y)} for x, y in (*ps, ps[0])]
+    box, ell = ring((0, 0), (4, 0), (4, 4), (0, 4)), ring((0, 0), (4, 0), (4, 1), (1, 1), (1, 4), (0, 4))
+    rows = [(1, 2, 16.0, [[box]]), (2, 4, 7.0, [[ell]]), (3, 6, 15.0, [[box, ring((2.5, 2.5), (3.5, 2.5), (3.5, 3.5), (2.5, 3.5))]])]
+    c = spark.createDataFrame(rows, "id long, level int, area double, polygons array<array<array<struct<x: double, y: double>>>>").selectExpr("*", "0d AS minx", "0d AS miny", "4d AS maxx", "4d AS maxy")
+    asked = [(10, 5, 0.0, 0.5, 0.5), (11, 5, 0.0, 3.0, 3.0), (12, 12, 0.0, 3.0, 3.0), (13, 12, 0.0, 2.0, 2.0)]
+    got = hierarchy.parents(spark.createDataFrame(asked, "id long, level int, area double, lon double, lat double"), c).collect()
+    assert dict(map(tuple, got)) == {10: 2, 11: 1, 12: 1, 13: 3}
