@@ -450,7 +450,7 @@ def bm25_with_bonuses(f):
 
 @query(f"WITH {_CORE} SELECT {_OUT} FROM lo WHERE query_id IN (3, 4)")
 def fuzzy_loose(f):
-    return ti.loose_scores(_index(f), _asked(f, {3, 4})).select("query_id", "doc", _s4())
+    return ti.loose_scores(_index(f), _asked(f)).select("query_id", "doc", _s4())
 
 
 @query(f"WITH {_CORE}, f AS (SELECT * FROM su UNION ALL SELECT * FROM lo WHERE query_id NOT IN (SELECT query_id FROM su)) SELECT query_id, count(*) AS n, CAST(round(max(score)*1e4) AS BIGINT) AS best FROM f GROUP BY query_id")

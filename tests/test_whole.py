@@ -14,6 +14,7 @@ CUTS = {
     "way_coords": [("WHERE l_orderkey % 5 = 0", "")],
     "relation_coords": [("WHERE l_orderkey % 5 = 0", "")],
     "house_number_interpolated": [("WHERE l_orderkey % 97 = 1", "")],
+    "fuzzy_loose": [("WHERE query_id IN (3, 4)", "")],
 }
 
 
