@@ -112,31 +112,40 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 def _best(k: int):
     """Each query's k best rows of its window in one block.  Rows come sorted by (curve, block, group, kind), a group's
     queries before the block's rows; the rows stream past, so that a task holds a group's queries and their best only."""
-    schema = pa.schema([("query", pa.int64()), ("uid", pa.int64()), ("score", pa.float64())])
+    schema = pa.schema([("query", pa.int64()), ("uid", pa.int64()), ("least", pa.int64()), ("score", pa.float64())])
 
-    def emit(asked, ids, scores):
+    def emit(asked, ids, least, scores):
         if not len(asked):
             return
         who, at = np.nonzero(scores > -np.inf)
-        yield pa.RecordBatch.from_arrays([pa.array(asked[who]), pa.array(ids[who, at]), pa.array(scores[who, at])], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(asked[who]), pa.array(ids[who, at]), pa.array(least[who, at]), pa.array(scores[who, at])], schema=schema)
 
-    def merge(q, low, high, ids, scores, part):
-        x, own, place = _matrix(part.column("vector")), part.column("uid").to_numpy(), part.column("low").to_numpy()
+    def merge(q, low, high, ids, least, scores, part):
+        x, own, place, smallest = _matrix(part.column("vector")), *(part.column(c).to_numpy() for c in ("uid", "low", "least"))
+        size = np.sqrt((x * x).sum(axis=1).max())
         n = min(k + 4, len(own))  # some to spare: the exact products below may differ in the last bit
         for a in range(0, len(q), 512):
             b = min(a + 512, len(q))
             s = q[a:b] @ x.T
             s[(place[None, :] < low[a:b, None]) | (place[None, :] > high[a:b, None])] = -np.inf
             top = np.argpartition(-s, n - 1, axis=1)[:, :n]
+            # where more rows than that tie at the cut, those of the smallest ids
+            cut = np.take_along_axis(s, top, 1).min(axis=1)
+            slack = 1e-12 * size * np.sqrt((q[a:b] * q[a:b]).sum(axis=1))
+            for i in np.flatnonzero((cut > -np.inf) & ((s >= (cut - slack)[:, None]).sum(axis=1) > n)):
+                tied = np.flatnonzero(s[i] >= cut[i] - slack[i])
+                top[i] = tied[np.lexsort((own[tied], smallest[tied], -products(q[a + i][None, :], x[tied])))[:n]]
             near = products(np.repeat(q[a:b], n, axis=0), x[top.reshape(-1)]).reshape(b - a, n)
             near[np.take_along_axis(s, top, 1) == -np.inf] = -np.inf
             all_scores, all_ids = np.hstack([scores[a:b], near]), np.hstack([ids[a:b], own[top]])
-            order = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
+            all_least = np.hstack([least[a:b], smallest[top]])
+            order = np.lexsort((all_ids, all_least, -all_scores), axis=1)[:, :k]
+            least[a:b] = np.take_along_axis(all_least, order, 1)
             scores[a:b], ids[a:b] = np.take_along_axis(all_scores, order, 1), np.take_along_axis(all_ids, order, 1)
 
     def run(batches):
         at, parts, open_ = None, [], False
-        asked = q = low = high = ids = scores = None
+        asked = q = low = high = ids = least = scores = None
         for batch in batches:
             keys = np.stack([batch.column(c).to_numpy() for c in ("curve", "block", "group", "kind")])
             cuts = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [batch.num_rows]])
@@ -146,7 +155,7 @@ def _best(k: int):
                 part, key, kind = batch.slice(a, b - a), tuple(keys[:3, a]), keys[3, a]
                 if key != at:
                     if open_:
-                        yield from emit(asked, ids, scores)
+                        yield from emit(asked, ids, least, scores)
                     at, parts, open_ = key, [], False
                 if kind == 0:
                     parts.append(part)
@@ -155,11 +164,11 @@ def _best(k: int):
                         asked = np.concatenate([p.column("uid").to_numpy() for p in parts])
                         q = np.vstack([_matrix(p.column("vector")) for p in parts])
                         low, high = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("low", "high"))
-                        ids, scores = np.zeros((len(q), k), np.int64), np.full((len(q), k), -np.inf)
+                        ids, least, scores = np.zeros((len(q), k), np.int64), np.zeros((len(q), k), np.int64), np.full((len(q), k), -np.inf)
                         parts, open_ = [], True
-                    merge(q, low, high, ids, scores, part)
+                    merge(q, low, high, ids, least, scores, part)
         if open_:
-            yield from emit(asked, ids, scores)
+            yield from emit(asked, ids, least, scores)
 
     return run
 
@@ -184,8 +193,8 @@ def _exact(queries: np.ndarray, names: np.ndarray, k: int):
     return run
 
 
-def _top(found: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "uid")
+def _top(found: DataFrame, k: int, *ties: str) -> DataFrame:
+    w = Window.partitionBy("query").orderBy(F.desc("score"), *ties, "uid")
     return found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
 
 
@@ -208,7 +217,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, curves: int = CURVES, wan
     ids = written(ids)
     kept = ids.select("uid", "vec_id", "salt").withColumn("r", F.row_number().over(few(["uid", "salt"]))).where(F.col("r") <= k + 1)
     kept = kept.withColumn("r", F.row_number().over(few(["uid"]))).where(F.col("r") <= k + 1).select("uid", "vec_id")
-    first = ids.groupBy("uid").agg(F.first("vector").alias("vector"), F.max(is_query(F.col("vec_id"))).alias("asked"))
+    first = ids.groupBy("uid").agg(F.first("vector").alias("vector"), F.max(is_query(F.col("vec_id"))).alias("asked"), F.min("vec_id").alias("least"))
     rows = written(first)
     total, longest = rows.count(), None
     norm = rows.mapInArrow(_norms, "square double, peak double").agg(F.max("square"), F.max("peak")).first()
@@ -224,11 +233,11 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, curves: int = CURVES, wan
     low, high = F.greatest(F.col("place") - window, F.lit(0)), F.least(F.col("place") + window, F.lit(total - 1))
     start = F.col("block") * block
     groups = F.sequence(F.floor(F.greatest(start - window, F.lit(0)) / span), F.floor(F.least(start + (block - 1 + window), F.lit(total - 1)) / span))
-    asked = placed.join(rows.where("asked"), "uid").select("curve", F.explode(F.sequence(F.floor(low / block), F.floor(high / block))).alias("block"), F.floor(F.col("place") / span).alias("group"), F.lit(0).alias("kind"), low.alias("low"), high.alias("high"), "uid", "vector")
-    blocks = placed.withColumn("block", F.floor(F.col("place") / block)).join(rows, "uid").select("curve", "block", F.explode(groups).alias("group"), F.lit(1).alias("kind"), F.col("place").alias("low"), F.col("place").alias("high"), "uid", "vector")
+    asked = placed.join(rows.where("asked"), "uid").select("curve", F.explode(F.sequence(F.floor(low / block), F.floor(high / block))).alias("block"), F.floor(F.col("place") / span).alias("group"), F.lit(0).alias("kind"), low.alias("low"), high.alias("high"), "uid", "least", "vector")
+    blocks = placed.withColumn("block", F.floor(F.col("place") / block)).join(rows, "uid").select("curve", "block", F.explode(groups).alias("group"), F.lit(1).alias("kind"), F.col("place").alias("low"), F.col("place").alias("high"), "uid", "least", "vector")
     met = asked.unionByName(blocks).repartition("curve", "block", "group").sortWithinPartitions("curve", "block", "group", "kind")
-    found = met.mapInArrow(_best(k + 1), "query long, uid long, score double")
-    best = written(_top(found.distinct(), k + 1))
+    found = met.mapInArrow(_best(k + 1), "query long, uid long, least long, score double")
+    best = written(_top(found.distinct(), k + 1, "least"))
     # Back to ids: each query takes the ids of its vector's best rows but its own.
     offered = best.join(kept, "uid").select("query", "vec_id", "score")
     w = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")

@@ -244,6 +244,12 @@ def test_neighbours(spark):
     assert set(got) == set(range(0, 300, 20)) and hit >= 0.9 * 150
 
 
+def test_neighbours_that_tie_come_by_id(spark):
+    rows = [(i, [float(j == i % 90 or j == 95) for j in range(96)]) for i in range(90)]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), lambda c: F.pmod(c, F.lit(20)) == 0, k=10, curves=2).collect()
+    assert {q: [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] for q in range(0, 90, 20)} == {q: [i for i in range(11) if i != q][:10] for q in range(0, 90, 20)}
+
+
 def test_hilbert_neighbours_touch():
     g = np.stack(np.meshgrid(np.arange(8), np.arange(8)), -1).reshape(-1, 2)
     walk = g[np.argsort(neighbours.hilbert(g.astype(np.uint64), 3))]
