@@ -34,9 +34,10 @@ def tokens_folded(text: Column) -> Column:
 
 
 def entity_text(name: Column, post_code: Column) -> Column:
-    """Name, post code, and the post code's digits where they differ from it."""
-    digits = F.regexp_replace(post_code, "[^0-9]", "")
-    return F.concat_ws(" ", name, post_code, F.when((digits != post_code) & (digits != ""), digits))
+    """Name, trimmed post code, and the post code's digits where they differ from it; a blank post code counts as none."""
+    code = F.nullif(F.trim(post_code), F.lit(""))
+    digits = F.regexp_replace(code, "[^0-9]", "")
+    return F.concat_ws(" ", name, code, F.when((digits != code) & (digits != ""), digits))
 
 
 def expand_abbreviations(text: Column, pairs: list[tuple[str, str]]) -> Column:
@@ -106,14 +107,27 @@ def pack_id(osm_id: Column, relation: Column) -> Column:
 
 
 def parse_template(template: str) -> list[tuple[str, str]]:
-    """(kind, value) of a friendly-name template: text, level (a number) or house_number; unknown or lone braces fail."""
+    """(kind, value) of a friendly-name template: text, level (0 to 255) or house_number.  A brace that opens must close
+    around a known field; one that only closes is text."""
     out, rest = [], template
     while rest:
-        m = re.match(r"\{admin_level_(\d+)_name\}|\{house_number\}|[^{}]+", rest)
-        if not m:
-            raise ValueError(f"friendly-name template: unexpected text at {rest[:20]!r}")
-        out.append(("level", m[1]) if m[1] else ("house_number", "") if m[0][0] == "{" else ("text", m[0]))
-        rest = rest[m.end() :]
+        if rest[0] != "{":
+            text = rest.partition("{")[0]
+            out.append(("text", text))
+            rest = rest[len(text) :]
+            continue
+        inner, closes, rest = rest[1:].partition("}")
+        if not closes:
+            raise ValueError("friendly_name_format: unterminated placeholder (missing closing '}')")
+        m = re.fullmatch(r"admin_level_(.*)_name", inner, re.S)
+        if inner == "house_number":
+            out.append(("house_number", ""))
+        elif not m:
+            raise ValueError(f"friendly_name_format: unknown field '{inner}' (expected 'admin_level_<N>_name' or 'house_number')")
+        elif not (m[1].isascii() and m[1].isdigit() and int(m[1]) < 256):
+            raise ValueError(f"friendly_name_format: invalid admin level '{m[1]}' (expected an integer 0-255)")
+        else:
+            out.append(("level", m[1]))
     return out
 
 
@@ -128,7 +142,7 @@ def render_template(template: str, names_by_level: Column, house_number: Column)
             v = F.try_element_at(names_by_level, F.lit(int(value))) if kind == "level" else house_number
             parts.append(F.coalesce(v, F.lit("")))
             kept = v.isNotNull()
-    return F.regexp_replace(F.concat(*parts), "^[, ]+|[, ]+$", "")
+    return F.regexp_replace(F.concat(F.lit(""), *parts), r"^[,\s]+|[,\s]+$", "")
 
 
 def default_friendly_name(levels: Column) -> Column:
@@ -138,6 +152,11 @@ def default_friendly_name(levels: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(keyed), lambda x: x["name"]), ", ")
 
 
+def unpack_id(packed: Column) -> Column:
+    """struct<osm_id, relation> of a packed id."""
+    return F.struct(F.shiftright(packed, 1).alias("osm_id"), (packed.bitwiseAND(F.lit(1)) == 1).alias("relation"))
+
+
 def url_decode(s: str) -> str:
     """%xx and + decoded; bad escapes stay as they are; bytes that are no UTF-8 become the replacement character."""
     raw = re.sub(rb"%([0-9A-Fa-f]{2})", lambda m: bytes([int(m[1], 16)]), s.replace("+", " ").encode())
@@ -147,7 +166,7 @@ def url_decode(s: str) -> str:
 def query_param(query_string: str, key: str) -> str | None:
     """The first parameter whose decoded name is `key`."""
     for pair in query_string.split("&"):
-        k, _, v = pair.partition("=")
-        if url_decode(k) == key:
+        k, given, v = pair.partition("=")
+        if given and url_decode(k) == key:
             return url_decode(v)
     return None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_, or_
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,16 +60,13 @@ def relation_ways(relations: DataFrame, way_lines: DataFrame) -> DataFrame:
 
 
 def join_rings(lines: list[list[tuple[float, float]]], eps: float = 1e-9) -> list[list[tuple[float, float]]]:
-    """Closed rings of at least four points from a relation's ways: a ring begins with the first way left and its end is
-    extended by the first way that begins or, reversed, ends there, until it closes or nothing fits."""
-    meet = lambda a, b: abs(a[0] - b[0]) <= eps and abs(a[1] - b[1]) <= eps
-    left, rings = [line for line in lines if len(line) >= 2], []
+    """Closed rings of at least four points from a relation's ways: a ring begins with the first way left, and as long as
+    some way begins or, reversed, ends at its tail, the first such way extends it."""
+    meet = lambda a, b: abs(a[0] - b[0]) < eps and abs(a[1] - b[1]) < eps
+    left, rings = [line for line in lines if len(line)], []
     while left:
         ring = list(left.pop(0))
-        while not meet(ring[0], ring[-1]):
-            found = next(((i, r) for i, line in enumerate(left) for r in (False, True) if meet(ring[-1], line[-1] if r else line[0])), None)
-            if found is None:
-                break
+        while (found := next(((i, r) for i, line in enumerate(left) for r in (False, True) if meet(ring[-1], line[-1] if r else line[0])), None)) is not None:
             line = left.pop(found[0])
             ring += (line[::-1] if found[1] else line)[1:]
         if len(ring) >= 4 and meet(ring[0], ring[-1]):
@@ -83,6 +80,7 @@ def _clockwise(ring):
 
 
 _LINES = "array<array<struct<x:double,y:double>>>"
+_SHAPED = pa.schema([("relation_id", pa.int64()), ("kind", pa.string()), ("lines", pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))])
 
 
 def relation_geometry(relations: DataFrame) -> DataFrame:
@@ -91,16 +89,16 @@ def relation_geometry(relations: DataFrame) -> DataFrame:
     Arrow batches, on one relation's ways at a time."""
 
     def run(batches):
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for rid, lines in zip(pdf["relation_id"], pdf["lines"]):
-                ways = [[(p["x"], p["y"]) for p in line] for line in lines if len(line)]
+            for rid, lines in zip(batch.column("relation_id").to_pylist(), batch.column("lines").to_pylist()):
+                ways = [[(p["x"], p["y"]) for p in line] for line in lines if line]
                 rings = [_clockwise(r) for r in join_rings(ways)]
                 if ways:
-                    out.append((rid, "MultiPolygon" if rings else "MultiLineString", [[{"x": x, "y": y} for x, y in part] for part in rings or ways]))
-            yield pd.DataFrame(out, columns=["relation_id", "kind", "lines"])
+                    out.append({"relation_id": rid, "kind": "MultiPolygon" if rings else "MultiLineString", "lines": [[{"x": x, "y": y} for x, y in part] for part in rings or ways]})
+            yield pa.RecordBatch.from_pylist(out, _SHAPED)
 
-    return relations.select("relation_id", "lines").mapInPandas(run, f"relation_id long, kind string, lines {_LINES}")
+    return relations.select("relation_id", "lines").mapInArrow(run, f"relation_id long, kind string, lines {_LINES}")
 
 
 def pending(candidates: DataFrame, stored: DataFrame, on: list[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import geo
+from ..functions import geo, shapes
 
 #: Half the search window for streets, in degrees; the caps for house numbers, in metres and degrees.
 STREET_WINDOW, HOUSE_METRES, HOUSE_DEGREES = 0.1, 50, 0.15
@@ -41,10 +41,19 @@ def projected(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("_t", t).withColumns({"qx": F.col("x1") + F.col("_t") * (F.col("x2") - F.col("x1")), "qy": F.col("y1") + F.col("_t") * (F.col("y2") - F.col("y1"))}).drop("_t")
 
 
-def nearby_streets(points: DataFrame, streets: DataFrame, point_id: str, region: Column | None = None, top: int = TOP) -> DataFrame:
+def within_envelope(boxes: DataFrame, envelope: tuple[float, float, float, float] | None) -> DataFrame:
+    """The boxes that meet an envelope (minx, miny, maxx, maxy): a filter on plain columns, which reaches the scan."""
+    if envelope is None:
+        return boxes
+    x1, y1, x2, y2 = envelope
+    return boxes.where((F.col("minx") <= x2) & (F.col("maxx") >= x1) & (F.col("miny") <= y2) & (F.col("maxy") >= y1))
+
+
+def nearby_streets(points: DataFrame, streets: DataFrame, point_id: str, region: Column | None = None, top: int = TOP, envelope: tuple[float, float, float, float] | None = None) -> DataFrame:
     """For each point its `top` streets within the window by rounded metres, then id; `region`, a ring, must strictly hold
-    the street's nearest point, and is applied before the cut."""
-    near = projected(box_join(points, with_box(streets), STREET_WINDOW))
+    the street's nearest point, and is applied before the cut.  Streets outside the region's `envelope` go before the
+    join."""
+    near = projected(box_join(points, within_envelope(with_box(streets), envelope), STREET_WINDOW))
     if region is not None:
         near = near.where(geo.strictly_inside(F.col("qx"), F.col("qy"), region))
     near = near.withColumn("metres", F.round(geo.haversine(F.col("lon"), F.col("lat"), F.col("qx"), F.col("qy"))).cast("long"))
@@ -57,17 +66,41 @@ def match_houses(houses: DataFrame, streets: DataFrame, house_id: str, cap: floa
     neighbouring tiles, else the nearest of all within `cap` degrees.  strategy is 1 by name, 0 by proximity."""
     s = with_box(streets)
     far = F.pow(F.col("lon") - F.col("qx"), 2) + F.pow(F.col("lat") - F.col("qy"), 2)
-    best = lambda df: df.withColumn("d2", far).groupBy(house_id).agg(F.min(F.struct("d2", "id", "qx", "qy")).alias("b"))
-    by_place = best(projected(box_join(houses, s, cap)).where(far <= cap * cap))
+    row = lambda strategy: [house_id, F.struct(F.lit(-strategy).alias("s"), far.alias("d2"), "id", "qx", "qy").alias("b")]
+    by_place = projected(box_join(houses, s, cap)).where(far <= cap * cap).select(*row(0))
     # By name there is no cap, but the tiles of 2 degrees around the street's middle bound the search.
-    middle = s.withColumns({"tx": geo.tile((F.col("minx") + F.col("maxx")) / 2, 2.0), "ty": geo.tile((F.col("miny") + F.col("maxy")) / 2, 2.0)})
+    by_name = projected(_named(houses, s, house_id, "x1", "y1", "x2", "y2")).select(*row(1))
+    best = by_name.unionByName(by_place).groupBy(house_id).agg(F.min("b").alias("b"))
+    return best.select(house_id, F.col("b.id").alias("street_id"), (-F.col("b.s")).alias("strategy"), F.col("b.qx").alias("x"), F.col("b.qy").alias("y"))
+
+
+def nearby_lines(points: DataFrame, streets: DataFrame, region: Column | None = None, envelope: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """Pairs of a point and a street (id, lines, box) within the window, with the street's nearest point (qx, qy) and its
+    rounded metres; `region`, parts of polygons, must strictly hold that point."""
+    pairs = box_join(points, within_envelope(streets, envelope), STREET_WINDOW).withColumn("_c", shapes.closest_by_metres(F.col("lines"), F.col("lon"), F.col("lat"))).where(F.col("_c").isNotNull())
+    near = pairs.withColumns({"qx": F.col("_c.x"), "qy": F.col("_c.y"), "metres": F.round("_c.metres").cast("long")}).drop("_c", "lines", "minx", "miny", "maxx", "maxy")
+    return near if region is None else near.where(shapes.strictly_in_polygons(F.col("qx"), F.col("qy"), region))
+
+
+def match_houses_to_lines(houses: DataFrame, streets: DataFrame, house_id: str, cap: float = HOUSE_DEGREES) -> DataFrame:
+    """As `match_houses`, for streets (id, name, lines, box) of any shape.  Both ways of finding a street give rows of one
+    table, and one aggregate takes the best: by name first, then by distance, then the smallest id."""
+    near = lambda df: df.withColumn("_c", shapes.closest_on_lines(F.col("lines"), F.col("lon"), F.col("lat"))).where(F.col("_c").isNotNull())
+    row = lambda strategy: [house_id, F.struct(F.lit(-strategy).alias("s"), F.col("_c.d2").alias("d2"), F.col("id"), F.col("_c.x").alias("x"), F.col("_c.y").alias("y")).alias("b")]
+    by_place = near(box_join(houses, streets, cap)).where(F.col("_c.d2") <= cap * cap).select(*row(0))
+    by_name = near(_named(houses, streets, house_id, "lines")).select(*row(1))
+    best = by_name.unionByName(by_place).groupBy(house_id).agg(F.min("b").alias("b"))
+    return best.select(house_id, F.col("b.id").alias("street_id"), (-F.col("b.s")).alias("strategy"), F.col("b.x").alias("x"), F.col("b.y").alias("y"))
+
+
+def _named(houses: DataFrame, streets: DataFrame, house_id: str, *columns: str) -> DataFrame:
+    """Pairs of a house and a street of the name in its address, whose middle lies in the same tile of 2 degrees or a
+    neighbouring one."""
+    middle = streets.withColumns({"tx": geo.tile((F.col("minx") + F.col("maxx")) / 2, 2.0), "ty": geo.tile((F.col("miny") + F.col("maxy")) / 2, 2.0)})
     around = middle.withColumn("dx", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("dy", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
-    around = around.select(F.lower("name").alias("street_key"), (F.col("tx") + F.col("dx")).alias("tx"), (F.col("ty") + F.col("dy")).alias("ty"), "id", "x1", "y1", "x2", "y2")
+    around = around.select(F.lower("name").alias("street_key"), (F.col("tx") + F.col("dx")).alias("tx"), (F.col("ty") + F.col("dy")).alias("ty"), "id", *columns)
     named = houses.where(F.col("addr_street").isNotNull()).select(house_id, "lon", "lat", F.lower("addr_street").alias("street_key"), geo.tile(F.col("lon"), 2.0).alias("tx"), geo.tile(F.col("lat"), 2.0).alias("ty"))
-    by_name = best(projected(named.join(around, ["street_key", "tx", "ty"])))
-    out = houses.select(house_id).join(by_name.withColumnRenamed("b", "n"), house_id, "left").join(by_place.withColumnRenamed("b", "p"), house_id, "left")
-    chosen = F.coalesce("n", "p")
-    return out.select(house_id, chosen["id"].alias("street_id"), F.when(F.col("n").isNotNull(), 1).otherwise(0).alias("strategy"), chosen["qx"].alias("x"), chosen["qy"].alias("y")).where(F.col("street_id").isNotNull())
+    return named.join(around, ["street_key", "tx", "ty"])
 
 
 def containing_boxes(points: DataFrame, boxes: DataFrame, size: float = 0.5) -> DataFrame:

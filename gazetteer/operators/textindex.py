@@ -1,8 +1,8 @@
 """Ranked text search over posting tables.
 
 Each field is indexed in three forms: folded (with positions), lower and strict.  A posting is (field, form, term, doc,
-tf, positions); document lengths, document frequencies and field statistics are tables beside it.  Queries are a table
-too, so any number of them is one plan of joins on terms.
+tf, positions, length); document frequencies and field statistics are tables beside it, and so are the folded terms' keys
+for fuzzy search.  Queries are a table too, so any number of them is one plan of joins on terms.
 
 Scores are BM25 with k1 = 1.2 and b = 0.75, weighted by field and clause; a fuzzy hit adds its clause's weight alone.
 """
@@ -13,14 +13,18 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
+from ..scratch import written
 
 FORMS = {"folded": tx.tokens_folded, "lower": tx.tokens_lower, "strict": tx.tokens_strict}
+FIELDS = ("name", "hier")
 K1, B = 1.2, 0.75
+#: Hits of a query before later filters.
+TOP = 50
 
 
 @dataclass(frozen=True)
@@ -42,58 +46,118 @@ def tf_norm(tf: Column, length: Column, average: Column) -> Column:
     return (K1 + 1) * tf / (tf + K1 * (1 - B + B * length / average))
 
 
+def deletions(term: Column, most: Column) -> Column:
+    """The term and what is left of it without one or, where `most` is two, two of its letters.  Two words within so many
+    edits, neighbouring swaps counted as one, have one of these in common."""
+    drop = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
+    one = F.when(F.length(term) > 0, drop(term)).otherwise(F.array().cast("array<string>"))
+    two = F.flatten(F.transform(one, lambda t: F.when(F.length(t) > 0, drop(t)).otherwise(F.array().cast("array<string>"))))
+    return F.array_distinct(F.concat(F.array(term), one, F.when(most >= 2, two).otherwise(F.array().cast("array<string>"))))
+
+
 @dataclass
 class TextIndex:
     postings: DataFrame  # field, form, term, doc, tf, positions, length
     terms: DataFrame  # field, form, term, df
     fields: DataFrame  # field, form, n, average
+    keys: DataFrame  # key, term: of the folded terms
+
+    TABLES = ("postings", "terms", "fields", "keys")
 
     @classmethod
-    def build(cls, documents: DataFrame, abbreviations: list[tuple[str, str]] | None = None) -> TextIndex:
-        """`documents`: id, name, hier.  Abbreviations are put into the folded form only."""
-        parts = []
-        for f in ("name", "hier"):
+    def build(cls, documents: DataFrame, abbreviations: list[tuple[str, str]] | None = None, stored: bool = True) -> TextIndex:
+        """`documents`: id, name, hier.  Abbreviations are put into the folded form only.  The postings are written once
+        unless `stored` is off, which is for a caller that saves them."""
+        forms = []
+        for f in FIELDS:
             for form, split in FORMS.items():
                 source = tx.expand_abbreviations(F.col(f), abbreviations) if abbreviations and form == "folded" else F.col(f)
-                parts.append(documents.select(F.lit(f).alias("field"), F.lit(form).alias("form"), F.col("id").alias("doc"), split(F.coalesce(source, F.lit(""))).alias("tokens")))
-        docs = reduce(DataFrame.unionByName, parts).withColumn("length", F.size("tokens").cast("long"))
-        fields = docs.groupBy("field", "form").agg(F.count("*").alias("n"), F.avg("length").alias("average"))
-        spread = docs.select("field", "form", "doc", "length", F.posexplode("tokens").alias("pos", "term"))
-        postings = spread.groupBy("field", "form", "term", "doc").agg(F.count("*").alias("tf"), F.first("length").alias("length"), F.array_sort(F.collect_list("pos")).alias("positions"))
-        terms = postings.groupBy("field", "form", "term").agg(F.count("*").alias("df"))
-        return cls(postings, terms, fields)
+                forms.append(F.struct(F.lit(f).alias("field"), F.lit(form).alias("form"), split(F.coalesce(source, F.lit(""))).alias("tokens")))
+        docs = documents.select(F.col("id").alias("doc"), F.explode(F.array(*forms)).alias("f")).select("doc", "f.*")
+        # A form without tokens still counts as a document: it has one row without a term.
+        each = docs.select("field", "form", "doc", F.size("tokens").cast("long").alias("length"), F.posexplode_outer("tokens").alias("pos", "term"))
+        spread = each.groupBy("field", "form", "term", "doc").agg(F.count("pos").alias("tf"), F.first("length").alias("length"), F.array_sort(F.collect_list("pos")).alias("positions"))
+        if not stored:
+            return cls.over(spread)
+        index = cls.over(written(spread))
+        return cls(index.postings, written(index.terms), written(index.fields), index.keys)
+
+    @classmethod
+    def over(cls, postings: DataFrame) -> TextIndex:
+        """The index over a table of postings."""
+        # each document of a field is counted where its first term stands, or where it has none
+        first = F.col("term").isNull() | F.array_contains("positions", 0)
+        fields = postings.where(first).groupBy("field", "form").agg(F.count("*").alias("n"), F.avg("length").alias("average"))
+        real = postings.where(F.col("term").isNotNull())
+        terms = real.groupBy("field", "form", "term").agg(F.count("*").alias("df"))
+        words = real.where("form = 'folded'").select("term").distinct()
+        keys = words.select(F.explode(deletions(F.col("term"), F.lit(2))).alias("key"), "term")
+        return cls(real, terms, fields, keys)
+
+    def save(self, path: str) -> None:
+        """Postings sorted by term within files, so that a search's terms skip most row groups."""
+        for name in self.TABLES:
+            table = getattr(self, name)
+            by = {"postings": ["form", "term"], "terms": ["form", "term"], "keys": ["key"]}.get(name)
+            (table.repartitionByRange(*by).sortWithinPartitions(*by) if by else table).write.mode("overwrite").parquet(f"{path}/{name}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> TextIndex:
+        return cls(*[spark.read.parquet(f"{path}/{name}") for name in cls.TABLES])
 
     def weighted(self, asked: DataFrame) -> DataFrame:
         """Postings of the asked terms (field, form, term and more) with idf and tf_norm."""
-        known = asked.join(self.terms, ["field", "form", "term"]).join(self.fields, ["field", "form"])
+        known = asked.join(self.terms, ["field", "form", "term"]).join(F.broadcast(self.fields), ["field", "form"])  # six rows
         hit = known.join(self.postings, ["field", "form", "term"])
         return hit.withColumns({"idf": idf(F.col("n"), F.col("df")), "tfn": tf_norm(F.col("tf"), F.col("length"), F.col("average"))})
 
 
-def _spread(queries: DataFrame, form: str, weights: dict[str, float]) -> DataFrame:
-    """(query_id, qpos, field, form, term, boost, tokens) of each query token in each field."""
-    per = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(w).alias("boost")) for f, w in weights.items()]))
-    toks = FORMS[form](F.col("text"))
-    q = queries.select("query_id", F.size(toks).alias("tokens"), F.posexplode(toks).alias("qpos", "term"))
-    return q.withColumn("_f", per).select("query_id", "qpos", "_f.field", F.lit(form).alias("form"), "term", "_f.boost", "tokens")
+def asked_terms(queries: DataFrame, *clauses: tuple[str, dict[str, float]]) -> DataFrame:
+    """(query_id, qpos, field, form, term, boost, tokens): each query token in each field, for clauses (form, weights)."""
+    parts = []
+    for form, weights in clauses:
+        per = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(w).alias("boost")) for f, w in weights.items()]))
+        toks = FORMS[form](F.col("text"))
+        q = queries.select("query_id", F.size(toks).alias("tokens"), F.posexplode(toks).alias("qpos", "term"))
+        parts.append(q.withColumn("_f", per).select("query_id", "qpos", "_f.field", F.lit(form).alias("form"), "term", "_f.boost", "tokens"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def term_scores(index: TextIndex, queries: DataFrame, boosts: Boosts = Boosts()) -> DataFrame:
+    """(query_id, doc, field, qpos, score): what each folded query token adds by itself."""
+    hit = index.weighted(asked_terms(queries, ("folded", boosts.exact)))
+    return hit.select("query_id", "doc", "field", "qpos", (F.col("boost") * F.col("idf") * F.col("tfn")).alias("score"))
+
+
+def clause_scores(index: TextIndex, queries: DataFrame, boosts: Boosts = Boosts()) -> DataFrame:
+    """(query_id, doc, exact, phrase, letters, found, tokens): the sums of each clause for documents that hold any token,
+    with how many of the query's tokens are found.  One join with the postings serves all clauses; a document's hits of a
+    query (at most six a token) are put together once."""
+    hit = index.weighted(asked_terms(queries, ("folded", boosts.exact), ("strict", boosts.strict), ("lower", boosts.lower)))
+    one = F.struct("field", "form", "qpos", "idf", (F.col("boost") * F.col("idf") * F.col("tfn")).alias("score"), F.when(F.col("form") == "folded", F.col("positions")).alias("positions"), "length", "average", "tokens")
+    g = hit.groupBy("query_id", "doc").agg(F.collect_list(one).alias("hits"))
+    folded = F.filter("hits", lambda h: h["form"] == "folded")
+    total = lambda hits: F.aggregate(hits, F.lit(0.0), lambda a, h: a + h["score"])
+    g = g.select("query_id", "doc", folded.alias("folded"), total(F.filter("hits", lambda h: h["form"] != "folded")).alias("letters"))
+
+    def phrase(f: str) -> Column:
+        """Places where every token's positions, less its place in the query, agree."""
+        own = F.filter("folded", lambda h: h["field"] == f)
+        starts = F.transform(own, lambda h: F.transform(h["positions"], lambda p: p - h["qpos"]))
+        tf = F.size(F.aggregate(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), starts[0], lambda a, s: F.array_intersect(a, s)))
+        weight = F.aggregate(own, F.lit(0.0), lambda a, h: a + h["idf"])
+        score = F.lit(boosts.phrase[f]) * weight * tf_norm(tf, own[0]["length"], own[0]["average"])
+        return F.when((F.size(own) >= 2) & (F.size(own) == own[0]["tokens"]) & (tf > 0), score).otherwise(F.lit(0.0))
+
+    found = F.size(F.array_distinct(F.transform("folded", lambda h: h["qpos"])))
+    return g.where(F.size("folded") > 0).select("query_id", "doc", total(F.col("folded")).alias("exact"), (phrase("name") + phrase("hier")).alias("phrase"), "letters", found.alias("found"), F.col("folded")[0]["tokens"].alias("tokens"))
 
 
 def strict_scores(index: TextIndex, queries: DataFrame, boosts: Boosts = Boosts()) -> DataFrame:
     """(query_id, doc, score): documents that hold every token in one field or another, with phrase, letter-case and
     accent bonuses."""
-    base = index.weighted(_spread(queries, "folded", boosts.exact))
-    sums = base.groupBy("query_id", "doc").agg(F.sum(F.col("boost") * F.col("idf") * F.col("tfn")).alias("score"), F.countDistinct("qpos").alias("found"), F.first("tokens").alias("tokens"))
-    whole = sums.where(F.col("found") == F.col("tokens")).select("query_id", "doc", "score")
-    # a phrase starts where every token's positions, less its place in the query, agree
-    phrase = index.weighted(_spread(queries, "folded", boosts.phrase)).where(F.col("tokens") >= 2)
-    starts = phrase.select("query_id", "doc", "field", "boost", "tokens", "qpos", "idf", "length", "average", F.explode("positions").alias("at")).withColumn("start", F.col("at") - F.col("qpos"))
-    runs = starts.groupBy("query_id", "doc", "field", "start").agg(F.count("*").alias("c"), F.first("tokens").alias("tokens"), F.sum("idf").alias("idf"), F.first("boost").alias("boost"), F.first("length").alias("length"), F.first("average").alias("average"))
-    full = runs.where(F.col("c") == F.col("tokens")).groupBy("query_id", "doc", "field").agg(F.count("*").alias("tf"), F.first("idf").alias("idf"), F.first("boost").alias("boost"), F.first("length").alias("length"), F.first("average").alias("average"))
-    bonus = [full.select("query_id", "doc", (F.col("boost") * F.col("idf") * tf_norm(F.col("tf"), F.col("length"), F.col("average"))).alias("score"))]
-    for form, weights in (("strict", boosts.strict), ("lower", boosts.lower)):
-        bonus.append(index.weighted(_spread(queries, form, weights)).select("query_id", "doc", (F.col("boost") * F.col("idf") * F.col("tfn")).alias("score")))
-    extra = reduce(DataFrame.unionByName, bonus).join(whole.select("query_id", "doc"), ["query_id", "doc"], "left_semi")
-    return whole.unionByName(extra).groupBy("query_id", "doc").agg(F.sum("score").alias("score"))
+    whole = clause_scores(index, queries, boosts).where(F.col("found") == F.col("tokens"))
+    return whole.select("query_id", "doc", (F.col("exact") + F.col("phrase") + F.col("letters")).alias("score"))
 
 
 def osa_distance(a: str, b: str, most: int) -> int:
@@ -118,31 +182,31 @@ def _osa(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def fuzzy_terms(index: TextIndex, queries: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """(query_id, qpos, field, term, boost): indexed folded terms within a query token's distance.  Only the distinct
-    terms are compared, by length (within two) as the join key; a plain edit distance of four bounds the swaps."""
-    asked = _spread(queries, "folded", weights)
-    words = asked.select("term").distinct().withColumn("n", F.explode(F.sequence(F.length("term") - 2, F.length("term") + 2))).withColumnRenamed("term", "wanted")
-    vocabulary = index.terms.where("form = 'folded'").select("term").distinct().withColumn("n", F.length("term"))
-    close = words.join(vocabulary, "n").where(F.levenshtein("wanted", "term", 4) >= 0)
-    close = close.where(_osa("wanted", "term") <= tx.fuzzy_distance(F.col("wanted"))).select("wanted", "term")
-    return asked.withColumnRenamed("term", "wanted").join(close, "wanted").select("query_id", "qpos", "field", F.lit("folded").alias("form"), "term", "boost")
+    """(query_id, qpos, field, form, term, boost): indexed folded terms within a query token's distance.  Words meet on
+    what is left of them without a letter or two, so only near ones meet; the few that do are verified."""
+    asked = asked_terms(queries, ("folded", weights))
+    words = asked.select("term").distinct().withColumnRenamed("term", "wanted")
+    reach = words.select("wanted", F.explode(deletions(F.col("wanted"), tx.fuzzy_distance(F.col("wanted")))).alias("key"))
+    close = reach.join(index.keys, "key").select("wanted", "term").distinct()
+    close = close.where(F.abs(F.length("wanted") - F.length("term")) <= 2).where(_osa("wanted", "term") <= tx.fuzzy_distance(F.col("wanted")))
+    return asked.withColumnRenamed("term", "wanted").join(close, "wanted").select("query_id", "qpos", "field", "form", "term", "boost")
 
 
 def loose_scores(index: TextIndex, queries: DataFrame, boosts: Boosts = Boosts()) -> DataFrame:
     """(query_id, doc, score): any token, exact by BM25 or within its distance by the clause's weight (once a token and
     field)."""
-    exact = index.weighted(_spread(queries, "folded", boosts.exact)).select("query_id", "doc", (F.col("boost") * F.col("idf") * F.col("tfn")).alias("score"))
+    exact = term_scores(index, queries, boosts).select("query_id", "doc", "score")
     near = fuzzy_terms(index, queries, boosts.fuzzy).join(index.postings.select("field", "form", "term", "doc"), ["field", "form", "term"])
     near = near.groupBy("query_id", "doc", "field", "qpos").agg(F.first("boost").alias("score")).select("query_id", "doc", "score")
     return exact.unionByName(near).groupBy("query_id", "doc").agg(F.sum("score").alias("score"))
 
 
-def search(index: TextIndex, queries: DataFrame, boosts: Boosts = Boosts(), allowed: DataFrame | None = None, top: int = 50) -> DataFrame:
+def search(index: TextIndex, queries: DataFrame, boosts: Boosts = Boosts(), allowed: DataFrame | None = None, top: int = TOP) -> DataFrame:
     """(query_id, doc, score, rank): strict hits, or loose ones for queries without any; `allowed` (doc) restricts the
-    documents before the cut."""
+    documents before the cut.  Equal scores go by id."""
     within = lambda df: df if allowed is None else df.join(allowed.select("doc").distinct(), "doc", "left_semi")
-    strict = within(strict_scores(index, queries, boosts))
+    strict = written(within(strict_scores(index, queries, boosts)).select("query_id", "doc", "score"))
     left = queries.join(strict.select("query_id").distinct(), "query_id", "left_anti")
-    found = strict.select("query_id", "doc", "score").unionByName(within(loose_scores(index, left, boosts)).select("query_id", "doc", "score"))
+    found = strict.unionByName(within(loose_scores(index, left, boosts)).select("query_id", "doc", "score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)

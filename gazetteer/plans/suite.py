@@ -10,13 +10,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import geo
+from .. import presets
+from .. import query as qy
+from ..functions import geo, shapes
 from ..functions import text as tx
+from ..operators import areas as ar
+from ..operators import catalog
 from ..operators import hierarchy as hi
 from ..operators import housenumbers as hn
 from ..operators import osm
 from ..operators import spatial as sp
 from ..operators import textindex as ti
+from ..scratch import written
+from ..sources import osmpbf
 from . import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +63,9 @@ def reverse_geocode_top10(f):
 _TRIANGLE = [(-46.4, -24.0), (-45.9, -24.0), (-46.4, -23.2), (-46.4, -24.0)]
 
 
+_ENVELOPE = (min(x for x, _ in _TRIANGLE), min(y for _, y in _TRIANGLE), max(x for x, _ in _TRIANGLE), max(y for _, y in _TRIANGLE))
+
+
 def _ring():
     return F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in _TRIANGLE])
 
@@ -68,7 +77,7 @@ _ON = " OR ".join(f"(({b[0]}e0 - {a[0]}e0)*(qy - {a[1]}e0) = ({b[1]}e0 - {a[1]}e
 
 @query(f"WITH {_NEAR}, inside AS (SELECT * FROM metres WHERE ({_IN}) % 2 = 1 AND NOT ({_ON})) SELECT cid, id AS street_id, rank, metres FROM ({_TOP.format(src='inside')})")
 def region_filtered_reverse(f):
-    return sp.nearby_streets(f.points(), f.streets(), "cid", _ring()).select("cid", F.col("id").alias("street_id"), F.col("rank").cast("int").alias("rank"), "metres")
+    return sp.nearby_streets(f.points(), f.streets(), "cid", _ring(), envelope=_ENVELOPE).select("cid", F.col("id").alias("street_id"), F.col("rank").cast("int").alias("rank"), "metres")
 
 
 @query(f"WITH {_NEAR} SELECT cid, id AS street_id, CAST(round(greatest(0e0, least(1e0, 1e0 - metres/1e2))*1e6) AS BIGINT) AS quality FROM metres WHERE greatest(0e0, least(1e0, 1e0 - metres/1e2)) >= 2e-1")
@@ -109,7 +118,9 @@ def round5_coords(f):
     return f.points().select("cid", F.round(geo.round5(F.col("lon") * F.col("lat")) * 1e5).cast("long").alias("v"))
 
 
-_SEG = f"SELECT cid, id, x1 + t*(x2-x1) AS qx, y1 + t*(y2-y1) AS qy, lon, lat FROM (SELECT *, {_T} AS t FROM pts, streets WHERE cid % 10 = 0)"
+#: Streets whose box comes within the search window of the point.
+_WINDOW = "least(x1,x2) <= lon+1e-1 AND greatest(x1,x2) >= lon-1e-1 AND least(y1,y2) <= lat+1e-1 AND greatest(y1,y2) >= lat-1e-1"
+_SEG = f"SELECT cid, id, x1 + t*(x2-x1) AS qx, y1 + t*(y2-y1) AS qy, lon, lat, x1, y1, x2, y2 FROM (SELECT *, {_T} AS t FROM pts, streets)"
 
 
 @query(f"WITH {STREETS}, {PTS}, n AS ({_SEG}), d AS (SELECT *, (lon-qx)*(lon-qx)+(lat-qy)*(lat-qy) AS d2 FROM n) SELECT cid, id AS street_id, CAST(round(sqrt(d2)*1e6) AS BIGINT) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY d2, id) AS r FROM d WHERE d2 <= 2.25e-2) WHERE r = 1")
@@ -156,7 +167,7 @@ def hierarchy_chain(f):
 @query(f"WITH {_B} SELECT id, CAST(row_number() OVER (ORDER BY level, area DESC, id) AS INTEGER) AS place FROM b")
 def level_area_order(f):
     b = f.bounds().withColumn("area", (F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny")))
-    return b.select(F.col("id"), F.row_number().over(Window.orderBy("level", F.desc("area"), "id")).alias("place"))
+    return hi.global_rank(b.select("id", "level", "area"), F.col("level"), F.desc("area"), F.col("id")).select("id", "place")
 
 
 @query("SELECT n_nationkey AS id, concat_ws(', ', n_name, nullif(trim(CASE n_nationkey % 3 WHEN 0 THEN NULL WHEN 1 THEN '  ' ELSE concat(' ', n_nationkey, '-9') END), '')) AS friendly_name FROM nation")
@@ -187,7 +198,7 @@ def house_match(f):
     return sp.match_houses(f.house_nodes(), f.streets(), "node_id").select("node_id", "street_id", "strategy", micro(F.col("x")).alias("x"), micro(F.col("y")).alias("y"))
 
 
-_STREET_HOUSES = "h AS (SELECT l_orderkey % 50 AS street_id, l_partkey * 100 + l_suppkey AS node_id, min(l_partkey % 300) AS n, min(l_suppkey / 1e1) AS x, min(l_linenumber / 1e0) AS y FROM lineitem WHERE l_orderkey % 97 = 1 GROUP BY 1, 2)"
+_STREET_HOUSES = "h AS (SELECT l_orderkey % 50 AS street_id, l_partkey * 100 + l_suppkey AS node_id, min(l_partkey % 300) AS n, min(l_suppkey / 1e1) AS x, min(l_linenumber / 1e0) AS y FROM lineitem GROUP BY 1, 2)"
 
 
 def _houses(f):
@@ -239,7 +250,7 @@ def way_predicate_counts(f):
     return per.where(F.col("kind").isNotNull()).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-_REFS = "refs AS (SELECT l_orderkey AS way_id, l_partkey AS node_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos FROM lineitem WHERE l_orderkey % 5 = 0)"
+_REFS = "refs AS (SELECT l_orderkey AS way_id, l_partkey AS node_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos FROM lineitem)"
 
 
 def _ways(f):
@@ -437,10 +448,7 @@ def _s4():
 
 @query(f"WITH {_CORE} SELECT CAST(query_id AS INTEGER) AS query_id, doc, CAST(round(s*1e4) AS BIGINT) AS score FROM wh")
 def bm25_strict_all(f):
-    index = _index(f)
-    base = index.weighted(ti._spread(_asked(f), "folded", ti.Boosts().exact))
-    g = base.groupBy("query_id", "doc").agg(F.sum(F.col("boost") * F.col("idf") * F.col("tfn")).alias("score"), F.countDistinct("qpos").alias("c"), F.first("tokens").alias("n"))
-    return g.where("c = n").select("query_id", "doc", _s4())
+    return ti.clause_scores(_index(f), _asked(f)).where("found = tokens").select("query_id", "doc", F.col("exact").alias("score")).select("query_id", "doc", _s4())
 
 
 @query(f"WITH {_CORE} SELECT {_OUT} FROM su")
@@ -448,7 +456,7 @@ def bm25_with_bonuses(f):
     return ti.strict_scores(_index(f), _asked(f)).select("query_id", "doc", _s4())
 
 
-@query(f"WITH {_CORE} SELECT {_OUT} FROM lo WHERE query_id IN (3, 4)")
+@query(f"WITH {_CORE} SELECT {_OUT} FROM lo")
 def fuzzy_loose(f):
     return ti.loose_scores(_index(f), _asked(f)).select("query_id", "doc", _s4())
 
@@ -458,10 +466,58 @@ def strict_else_loose(f):
     return ti.search(_index(f), _asked(f), top=1 << 30).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("score") * 1e4).cast("long").alias("best"))
 
 
-@query(f"WITH {_CORE} SELECT CAST(query_id AS INTEGER) AS query_id, doc FROM su WHERE doc % 7 = 0 AND query_id = 0")
+_FOUND = "f AS (SELECT * FROM su UNION ALL SELECT * FROM lo WHERE query_id NOT IN (SELECT query_id FROM su))"
+_INSIDE = "lon BETWEEN -4.62e1 AND -4.58e1 AND lat BETWEEN -2.38e1 AND -2.33e1"
+#: The core with documents restricted before strict or loose is chosen.
+_WITHIN = """ws AS (SELECT su.* FROM su SEMI JOIN ok USING (doc)), wf AS (SELECT * FROM ws UNION ALL SELECT lo.* FROM lo SEMI JOIN ok USING (doc) WHERE query_id NOT IN (SELECT query_id FROM ws)),
+ cut AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score*1e9) DESC, doc) AS INTEGER) AS rank FROM wf)"""
+
+
+def _ranked(hits):
+    return hits.select("query_id", "doc", F.col("rank").cast("int").alias("rank"))
+
+
+@query(f"WITH {_CORE}, {NODES}, ok AS (SELECT node_id AS doc FROM nodes WHERE {_INSIDE}), {_WITHIN} SELECT CAST(query_id AS INTEGER) AS query_id, count(*) AS n, CAST(round(max(score)*1e4) AS BIGINT) AS best, CAST(round(min(score)*1e4) AS BIGINT) AS worst FROM cut WHERE rank <= 50 GROUP BY query_id")
 def spatial_first_text(f):
-    allowed = f.table("part").where("p_partkey % 7 = 0").selectExpr("p_partkey AS doc")
-    return ti.search(_index(f), _asked(f, {0}), allowed=allowed, top=1 << 30).select("query_id", "doc")
+    """All queries in a region: its documents are found first, so the cut at 50 loses none of them to others."""
+    boxes = f.nodes().select(F.col("node_id").alias("doc"), F.col("lon").alias("minx"), F.col("lat").alias("miny"), F.col("lon").alias("maxx"), F.col("lat").alias("maxy"))
+    allowed = sp.within_envelope(boxes, (-46.2, -23.8, -45.8, -23.3)).select("doc")
+    return _scored(ti.search(_index(f), _asked(f), allowed=allowed))
+
+
+def _scored(hits):
+    micros = lambda c: F.round(c * 1e4).cast("long")
+    return hits.groupBy("query_id").agg(F.count("*").alias("n"), micros(F.max("score")).alias("best"), micros(F.min("score")).alias("worst"))
+
+
+@query(f"WITH {_CORE}, ok AS (SELECT p_partkey AS doc FROM part WHERE p_size % 4 = 1), {_WITHIN} SELECT CAST(query_id AS INTEGER) AS query_id, count(*) AS n, CAST(round(max(score)*1e4) AS BIGINT) AS best, CAST(round(min(score)*1e4) AS BIGINT) AS worst FROM cut WHERE rank <= 20 GROUP BY query_id")
+def level_filter_prerank(f):
+    """Only documents of one level are ranked and cut."""
+    docs = f.table("part").selectExpr("p_partkey AS id", "p_size % 4 AS level")
+    tables = qy.Tables(None, None, None, None, None, docs)
+    return _scored(ti.search(_index(f), _asked(f), allowed=qy.allowed_docs(tables, qy.Filters(levels=(1,))), top=20))
+
+
+@query(f"WITH {_CORE} SELECT CAST(query_id AS INTEGER) AS query_id, doc, field, CAST(qpos AS INTEGER) AS qpos, CAST(round(CASE field WHEN 'name' THEN 5e0 ELSE 2e0 END*idf*tfn*1e4) AS BIGINT) AS score FROM hit WHERE form = 'folded'")
+def bm25_term(f):
+    return ti.term_scores(_index(f), _asked(f)).select("query_id", "doc", "field", "qpos", _s4())
+
+
+@query(f"WITH {_CORE} SELECT CAST(query_id AS INTEGER) AS query_id, doc, CAST(round(sum(s)*1e4) AS BIGINT) AS score FROM pb GROUP BY ALL")
+def bm25_phrase(f):
+    return ti.clause_scores(_index(f), _asked(f)).where("phrase > 0").select("query_id", "doc", F.col("phrase").alias("score")).select("query_id", "doc", _s4())
+
+
+@query(f"WITH {_CORE} SELECT CAST(query_id AS INTEGER) AS query_id, doc, CAST(round(sum(s)*1e4) AS BIGINT) AS score FROM bo GROUP BY ALL")
+def bm25_case_bonus(f):
+    return ti.clause_scores(_index(f), _asked(f)).where("letters > 0").select("query_id", "doc", F.col("letters").alias("score")).select("query_id", "doc", _s4())
+
+
+@query(f"WITH {_CORE.replace(_QV, 'q AS (SELECT min(p_partkey) AS query_id, p_name AS text FROM part GROUP BY p_name)')} SELECT CAST(query_id AS BIGINT) AS query_id, count(*) AS n, CAST(round(max(score)*1e4) AS BIGINT) AS best FROM su GROUP BY query_id")
+def bm25_every_name(f):
+    """Every different name asked for: how many documents hold all its words, and the best score."""
+    asked = f.table("part").groupBy(F.col("p_name").alias("text")).agg(F.min("p_partkey").alias("query_id"))
+    return ti.strict_scores(_index(f), asked).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("score") * 1e4).cast("long").alias("best"))
 
 
 @query(r"SELECT p_partkey AS id, CAST(round(1e6*len(list_filter(['small','ring','small'], lambda t: list_contains(regexp_extract_all(lower(p_name), '[\p{L}\p{N}]+'), t)))/3e0) AS BIGINT) AS coverage FROM part")
@@ -516,19 +572,344 @@ def polyline_length_bbox(f):
     return _square(f).select("id", micro(geo.line_length(F.col("ring"))).alias("length"), micro(box["minx"]).alias("minx"), micro(box["maxy"]).alias("maxy"))
 
 
-@query(f"WITH {STREETS}, {PTS}, n AS ({_SEG}) SELECT cid, id, CAST(round(qx*1e6) AS BIGINT) AS x, CAST(round(qy*1e6) AS BIGINT) AS y FROM n WHERE id < 40")
+@query(f"WITH {STREETS}, {PTS}, n AS ({_SEG}) SELECT cid, id, CAST(round(qx*1e6) AS BIGINT) AS x, CAST(round(qy*1e6) AS BIGINT) AS y FROM n WHERE {_WINDOW}")
 def closest_point_on_line(f):
     line = F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))
     pairs = sp.box_join(f.points(), sp.with_box(f.streets()), sp.STREET_WINDOW).withColumn("n", geo.closest_on_line(line, F.col("lon"), F.col("lat")))
     return pairs.select("cid", "id", micro(F.col("n.x")).alias("x"), micro(F.col("n.y")).alias("y"))
 
 
-@query()
+_BOX_VALUES = "minx, miny, maxx, maxy"
+_XY = "CAST(round({}*1e6) AS BIGINT)"
+
+
+def _pt(x, y):
+    return F.struct(x.alias("x"), y.alias("y"))
+
+
+def _ell():
+    """The box without its upper right quarter, as a closed ring."""
+    c, mx, my = F.col, (F.col("minx") + F.col("maxx")) / 2, (F.col("miny") + F.col("maxy")) / 2
+    return F.array(_pt(c("minx"), c("miny")), _pt(c("maxx"), c("miny")), _pt(c("maxx"), my), _pt(mx, my), _pt(mx, c("maxy")), _pt(c("minx"), c("maxy")), _pt(c("minx"), c("miny")))
+
+
+@query(f"WITH {fx.BOUNDS_SQL} SELECT id, 'MultiPolygon' AS kind, 1 AS rings, 5 AS points, {_XY.format('-2e0*(maxx-minx)*(maxy-miny)')} AS turned FROM bounds")
 def assemble_rings(f):
-    """Squares cut into two ways, the second reversed, put together again; rows only."""
-    pt = lambda x, y: F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"))
-    ways = F.array(F.array(pt(0, 0), pt(1, 0), pt(1, 1)), F.array(pt(0, 0), pt(0, 1), pt(1, 1)))
-    return osm.relation_geometry(f.table("nation").select(F.col("n_nationkey").cast("long").alias("relation_id"), ways.alias("lines"))).select("relation_id", "kind", F.size("lines").alias("rings"))
+    """Boxes cut into three ways, the second reversed, put together again: one clockwise ring of five points each."""
+    c = F.col
+    a, b, d, e = _pt(c("minx"), c("miny")), _pt(c("maxx"), c("miny")), _pt(c("maxx"), c("maxy")), _pt(c("minx"), c("maxy"))
+    ways = F.array(F.array(a, b), F.array(e, d, b), F.array(e, a))
+    whole = osm.relation_geometry(f.bounds().select(F.col("id").cast("long").alias("relation_id"), ways.alias("lines")))
+    return whole.select(F.col("relation_id").cast("int").alias("id"), "kind", F.size("lines").alias("rings"), F.size(F.col("lines")[0]).alias("points"), micro(geo.twice_area(F.col("lines")[0])).alias("turned"))
+
+
+_W, _H = "(maxx-minx)", "(maxy-miny)"
+
+
+@query(f"""WITH {fx.BOUNDS_SQL}, {STREETS} SELECT id, {_XY.format(f'75e-2*{_W}*{_H}')} AS area, {_XY.format(f'((minx+{_W}/2e0)*5e-1+(minx+{_W}/4e0)*25e-2)/75e-2')} AS x, {_XY.format(f'((miny+{_H}/4e0)*5e-1+(miny+3e0*{_H}/4e0)*25e-2)/75e-2')} AS y FROM bounds
+UNION ALL SELECT id + 1000, 0, {_XY.format('(x1+x2)/2e0')}, {_XY.format('(y1+y2)/2e0')} FROM streets""")
+def ring_area_centroid(f):
+    """Area and centroid of areas that are no boxes, by area, and of streets, by length."""
+    areas = f.bounds().select(F.col("id").cast("long").alias("id"), F.struct(F.lit(shapes.POLYGON).alias("kind"), F.array(F.array(_ell())).alias("parts")).alias("g"))
+    lines = f.streets().select((F.col("id") + 1000).alias("id"), shapes.of_lines(shapes.LINE, F.array(F.array(_pt(F.col("x1"), F.col("y1")), _pt(F.col("x2"), F.col("y2"))))).alias("g"))
+    c = shapes.centroid(F.col("g"))
+    return areas.unionByName(lines).select("id", micro(shapes.area(F.col("g"))).alias("area"), micro(c["x"]).alias("x"), micro(c["y"]).alias("y"))
+
+
+@query(f"WITH {fx.BOUNDS_SQL} SELECT id, {_XY.format('(minx+maxx)/2e0')} AS x, {_XY.format('(miny+maxy)/2e0')} AS y, 2 AS lines, 1 AS parts FROM bounds")
+def box_centre_and_parts(f):
+    """Centre of the box; a polygon with a hole as two lines, and as one part."""
+    hole = F.array(*[_pt((F.col("minx") + F.col("maxx")) / 2 + dx, (F.col("miny") + F.col("maxy")) / 2 + dy) for dx, dy in ((0.0, 0.0), (0.01, 0.0), (0.01, 0.01), (0.0, 0.0))])
+    g = F.struct(F.lit(shapes.POLYGON).alias("kind"), F.array(F.array(_box_ring(), hole)).alias("parts"))
+    c = shapes.box_centre(shapes.box(F.col("g")))
+    return f.bounds().withColumn("g", g).select("id", micro(c["x"]).alias("x"), micro(c["y"]).alias("y"), F.size(shapes.lines(F.col("g"))).alias("lines"), F.size(shapes.polygons(F.col("g"))).alias("parts"))
+
+
+_N = "regexp_replace(CAST(CAST({} AS DECIMAL(20,9)) AS VARCHAR), '\\.?0+$', '')"
+_XY_TEXT = lambda x, y: f"{_N.format(x)} || ' ' || {_N.format(y)}"
+
+
+@query(f"WITH {fx.BOUNDS_SQL} SELECT id, 'POLYGON((' || {_XY_TEXT('minx', 'miny')} || ',' || {_XY_TEXT('maxx', 'miny')} || ',' || {_XY_TEXT('maxx', 'maxy')} || ',' || {_XY_TEXT('minx', 'maxy')} || ',' || {_XY_TEXT('minx', 'miny')} || '))' AS wkt FROM bounds")
+def wkt_text(f):
+    """Shapes through the binary codec and out as text."""
+    b = f.bounds().select("id", F.lit(shapes.POLYGON).alias("kind"), F.array(F.array(_box_ring())).alias("parts"))
+    return b.select("id", shapes.wkt(shapes.from_blob(shapes.to_blob(F.col("kind"), F.col("parts")))).alias("wkt"))
+
+
+_D2 = "((lon-(x1+t*(x2-x1)))*(lon-(x1+t*(x2-x1)))+(lat-(y1+t*(y2-y1)))*(lat-(y1+t*(y2-y1))))"
+
+
+@query(f"""WITH {STREETS}, {PTS}, pairs AS (SELECT id, x1, y1, x2, y2, x1 AS bx1, y1 AS by1, x2 AS bx2, y2 AS by2 FROM streets UNION ALL SELECT id, x1, y1 + 1e-2, x2, y2 + 1e-2, x1, y1, x2, y2 FROM streets),
+d AS (SELECT cid, id, sqrt({_D2}) AS d FROM (SELECT *, {_T} AS t FROM pts, pairs WHERE least(bx1,bx2) <= lon+1e-1 AND greatest(bx1,bx2) >= lon-1e-1 AND least(by1,by2) <= lat+1e-1 AND greatest(by1,by2) >= lat-1e-1))
+SELECT cid, id, {_XY.format('min(d)')} AS dist FROM d GROUP BY ALL""")
+def point_line_distance(f):
+    """Planar distance from each point to the streets around it, each street a pair of parallel lines."""
+    line = lambda dy: F.array(_pt(F.col("x1"), F.col("y1") + F.lit(dy)), _pt(F.col("x2"), F.col("y2") + F.lit(dy)))
+    streets = sp.with_box(f.streets()).withColumn("lines", F.array(line(0.0), line(0.01)))
+    pairs = sp.box_join(f.points(), streets, sp.STREET_WINDOW)
+    return pairs.select("cid", "id", micro(shapes.distance_to_lines(F.col("lines"), F.col("lon"), F.col("lat"))).alias("dist"))
+
+
+_HOLED = "POLYGON((-46.3 -23.9,-46.0 -23.9,-46.0 -23.4,-46.3 -23.4,-46.3 -23.9),(-46.2 -23.8,-46.1 -23.8,-46.1 -23.6,-46.2 -23.6,-46.2 -23.8))"
+
+
+@query(f"WITH {PTS} SELECT cid FROM pts WHERE lon > -4.63e1 AND lon < -4.60e1 AND lat > -2.39e1 AND lat < -2.34e1 AND NOT (lon BETWEEN -4.62e1 AND -4.61e1 AND lat BETWEEN -2.38e1 AND -2.36e1)")
+def strict_containment(f):
+    """Points inside a region with a hole, none on its boundaries."""
+    return f.points().where(shapes.strictly_in_polygons(F.col("lon"), F.col("lat"), shapes.literal(shapes.parse_region(_HOLED)))).select("cid")
+
+
+_RINGS = """rp AS (SELECT e.id, b.id + 1000000 AS pid, row_number() OVER (PARTITION BY e.id ORDER BY b.level DESC, b.area, b.id) AS r FROM e JOIN (SELECT *, CASE level WHEN 4 THEN 75e-2 * area0 ELSE area0 END AS area FROM (SELECT * EXCLUDE (area), area AS area0 FROM b)) b
+ ON lon >= minx AND lon < maxx AND lat >= miny AND lat < maxy AND NOT (b.level = 4 AND lon >= (minx+maxx)/2 AND lat >= (miny+maxy)/2) AND b.id + 1000000 <> e.id AND b.level < e.level)"""
+
+
+@query(f"WITH {_B}, {_E}, {_RINGS} SELECT id, pid AS parent_id FROM rp WHERE r = 1 AND id < 1000000")
+def hierarchy_parent_rings(f):
+    """Streets' parents where the nations are no boxes."""
+    areas, b = _areas(f)
+    ells = b.withColumn("polygons", F.when(F.col("level") == 4, F.array(F.array(_ell()))).otherwise(F.col("polygons"))).withColumn("area", F.when(F.col("level") == 4, F.col("area") * 0.75).otherwise(F.col("area")))
+    return hi.parents(areas.where("id < 1000000"), ells)
+
+
+# --- stored tables -----------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {STREETS} SELECT id FROM streets WHERE id NOT IN (SELECT n_nationkey * 4 FROM nation)")
+def pending_streets(f):
+    """Streets without a place in the hierarchy."""
+    placed = f.table("nation").select((F.col("n_nationkey").cast("long") * 4).alias("id"))
+    return osm.pending(f.streets(), placed, ["id"]).select("id")
+
+
+_CHUNK = "SELECT o_custkey AS file_id, o_orderkey * 100 AS first_byte, {} AS chunk_size, CAST(CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE 1 END AS TINYINT) AS chunk_type FROM orders WHERE o_orderkey % {} = 0"
+
+
+@query(f"""WITH s AS ({_CHUNK.format(10, 2)}), n AS ({_CHUNK.format(20, 3)}), c AS (SELECT coalesce(s.file_id, n.file_id) AS file_id, coalesce(s.first_byte, n.first_byte) AS first_byte, coalesce(n.chunk_size, s.chunk_size) AS chunk_size, coalesce(s.chunk_type, n.chunk_type) AS chunk_type FROM s FULL JOIN n ON s.file_id = n.file_id AND s.first_byte = n.first_byte)
+SELECT file_id, count(*) AS n, CAST(sum(chunk_size) AS BIGINT) AS size, min(CASE WHEN chunk_type = 0 THEN first_byte END) AS header FROM c GROUP BY file_id""")
+def chunk_lookup(f):
+    """Blobs put in twice, the last winning: each file's number, size and first header."""
+    make = lambda size, n: f.table("orders").where(f"o_orderkey % {n} = 0").selectExpr("o_custkey AS file_id", "o_orderkey * 100 AS first_byte", f"{size}L AS chunk_size", "cast(CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE 1 END AS tinyint) AS chunk_type")
+    c = catalog.chunks_upserted(make(10, 2), make(20, 3))
+    return c.groupBy("file_id").agg(F.count("*").alias("n"), F.sum("chunk_size").alias("size"), F.min(F.when(F.col("chunk_type") == 0, F.col("first_byte"))).alias("header"))
+
+
+_INPUTS = ["Brazil", "sul", "sudeste-latest", "centro-oeste", "brazil-south", "PERU", "my peru extract", "portugal", "netherlands/utrecht", "atlantis", "default", "switzerland", "guyana-suriname"]
+_NAMED = [n for n in presets.LEVELS if n != "default"]
+
+
+@query(
+    "WITH i(input) AS (VALUES " + ", ".join(f"('{x}')" for x in _INPUTS) + "), p(pos, name) AS (VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(_NAMED)) + "), "
+    "x(name, id) AS (SELECT name, name FROM p UNION ALL VALUES " + ", ".join(f"('{v}', '{k}')" for k, v in presets.ALSO.items()) + ") "
+    "SELECT input, coalesce((SELECT x.name FROM x WHERE x.id = lower(input)), (SELECT arg_min(p.name, p.pos) FROM p WHERE contains(lower(input), p.name)), 'default') AS preset FROM i"
+)
+def preset_resolution(f):
+    return f.spark.createDataFrame([(x, presets.resolve(x).name) for x in _INPUTS], "input string, preset string")
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS name FROM events WHERE event_id % 3 <> 0 AND json_extract_string(props, '$.k') IS NOT NULL")
+def name_priority_null_drop(f):
+    """Areas have the tag name, but where the priority names another tag only, those without it go."""
+    tags = F.create_map(F.lit("name"), F.col("event_type"), F.lit("name:pt"), F.when(F.col("event_id") % 3 != 0, F.get_json_object("props", "$.k")))
+    preset = presets.Preset("one", (12,), ("name:pt",), (), ())
+    return ar._named(f.table("events").withColumn("tags", tags), preset).select("event_id", "name")
+
+
+@query(f"WITH {fx.BOUNDS_SQL}, {STREETS} SELECT level, count(*) AS n FROM (SELECT level FROM bounds UNION ALL SELECT 12 FROM streets) GROUP BY level")
+def level_counts_with_geometry(f):
+    """Areas with coordinates by level: those below streets, and streets."""
+    return ar.boxes(_area_table(f)).groupBy(F.col("admin_level").alias("level")).agg(F.count("*").alias("n"))
+
+
+def _area_table(f):
+    """Streets and boxes as areas: nations have post codes, regions country codes."""
+    line = F.array(_pt(F.col("x1"), F.col("y1")), _pt(F.col("x2"), F.col("y2")))
+    none = lambda t: F.lit(None).cast(t)
+    streets = f.streets().select(F.col("id"), none("long").alias("relation_id"), F.col("id").alias("way_id"), F.lit(12).alias("admin_level"), "name", none("string").alias("country_iso_code"), F.when(F.col("id") % 6 == 0, F.concat(F.lit("S"), F.col("id"))).alias("post_code"), shapes.of_lines(shapes.LINE, F.array(line)).alias("geom"))
+    b = f.bounds()
+    box = F.struct(F.lit(shapes.POLYGON).alias("kind"), F.array(F.array(_box_ring())).alias("parts"))
+    areas = b.select((F.col("id").cast("long") + 1000000).alias("id"), F.col("id").cast("long").alias("relation_id"), none("long").alias("way_id"), F.col("level").alias("admin_level"), "name", F.when(F.col("level") == 2, F.upper(F.substring("name", 1, 2))).alias("country_iso_code"), F.when((F.col("level") == 4) & (F.col("id") % 4 == 1), F.concat(F.lit("N"), F.col("id"))).alias("post_code"), box.alias("geom"))
+    return streets.unionByName(areas)
+
+
+_FACTS = """f AS (SELECT id, name, CAST(NULL AS VARCHAR) AS iso, CASE WHEN id % 6 = 0 THEN 'S' || id END AS pc, 12 AS level FROM streets UNION ALL SELECT id + 1000000, name, CASE level WHEN 2 THEN upper(name[1:2]) END, CASE WHEN level = 4 AND id % 4 = 1 THEN 'N' || id END, level FROM b)"""
+_UP = "up(id, anc, pos) AS (SELECT id, parent_id, 1 FROM parent UNION ALL SELECT up.id, parent.parent_id, pos + 1 FROM up JOIN parent ON parent.id = up.anc)"
+_TEXT = "concat_ws(' ', name, pc, CASE WHEN regexp_replace(pc, '[^0-9]', '', 'g') NOT IN (pc, '') THEN regexp_replace(pc, '[^0-9]', '', 'g') END)"
+
+
+@query(f"WITH RECURSIVE {_B}, {_E}, {_P}, {_UP}, {_FACTS}, h AS (SELECT up.id, string_agg({_TEXT}, ' ' ORDER BY pos) AS hier FROM up JOIN f ON f.id = up.anc GROUP BY up.id) SELECT f.id, f.level, {_TEXT} AS name, coalesce(hier, '') AS hier FROM f LEFT JOIN h ON h.id = f.id")
+def doc_assembly(f):
+    """The text index's documents of all areas."""
+    areas = written(_area_table(f))
+    return hi.documents(areas.withColumnRenamed("admin_level", "level"), ar.hierarchy(areas))
+
+
+@query(f"WITH RECURSIVE {_B}, {_E}, {_P}, {_UP}, {_FACTS} SELECT f.id, max(CASE WHEN a.level = 2 THEN a.iso END) AS country, arg_max(a.pc, a.level) FILTER (a.pc IS NOT NULL) AS text_code, coalesce(arg_max(a.pc, a.level) FILTER (a.pc IS NOT NULL), max(f.pc)) AS point_code FROM f JOIN up ON up.id = f.id JOIN f a ON a.id = up.anc GROUP BY f.id")
+def country_postcode_pick(f):
+    """Country and post code of all areas that have ancestors, as text and as coordinate matches have them."""
+    areas = written(_area_table(f))
+    own = F.struct(*[F.col(c) for c in ("id", "level", "name", "relation_id", "way_id", "country_iso_code", "post_code")])
+    rows = areas.withColumnRenamed("admin_level", "level").join(ar.hierarchy(areas).select("id", "ancestors"), "id").where(F.size("ancestors") > 0)
+    text, point = hi.by_level(F.col("ancestors"), False), hi.by_level(F.col("ancestors"), True)
+    return rows.select("id", hi.country_code(point, own).alias("country"), hi.post_code(text).alias("text_code"), F.coalesce(hi.post_code(point), F.col("post_code")).alias("point_code"))
+
+
+_STEPS = "SELECT c_custkey AS id, unnest([8, 8 + c_nationkey % 2, 4, 4, 2]) AS level, unnest(range(5)) AS pos, unnest(['a', 'b', 'c', 'd', 'e']) AS name FROM customer"
+
+
+def _steps(f):
+    level = lambda i: [F.lit(8), 8 + F.col("c_nationkey") % 2, F.lit(4), F.lit(4), F.lit(2)][i].cast("int")
+    chain = F.array(*[F.struct(level(i).alias("level"), F.lit(n).alias("name")) for i, n in enumerate("abcde")])
+    return f.table("customer").select(F.col("c_custkey").alias("id"), chain.alias("chain"))
+
+
+@query(f"SELECT id, string_agg(name, '' ORDER BY level, pos) AS names FROM ({_STEPS}) GROUP BY id")
+def ancestor_order_text(f):
+    return _steps(f).select("id", F.array_join(F.transform(hi.by_level(F.col("chain"), False), lambda a: a["name"]), "").alias("names"))
+
+
+@query(f"SELECT id, string_agg(name, '' ORDER BY level, pos DESC) AS names FROM ({_STEPS}) GROUP BY id")
+def ancestor_order_coord(f):
+    return _steps(f).select("id", F.array_join(F.transform(hi.by_level(F.col("chain"), True), lambda a: a["name"]), "").alias("names"))
+
+
+# --- answers -----------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT c_nationkey AS query_id, CAST(rank AS INTEGER) AS rank, c_custkey AS id FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey % 7 DESC, CAST(c_custkey % 11 AS FLOAT) / 10 DESC, c_custkey) AS rank FROM customer
+ WHERE coalesce(CASE WHEN c_custkey % 3 <> 0 THEN CAST(c_custkey % 11 AS FLOAT) / 10 END, 1e0 - (c_custkey % 100) / 1e2) >= 3e-1 AND c_custkey % 100 > 20 AND c_custkey % 100 < 80 AND c_custkey % 4 IN (0, 1)) WHERE rank <= 10""")
+def rank_and_truncate(f):
+    """Quality by similarity or distance, region, level of the last part, order by score and similarity, ten of each."""
+    c = f.table("customer")
+    similarity = (F.col("c_custkey") % 11).cast("float") / F.lit(10).cast("float")
+    m = c.select(
+        F.col("c_nationkey").alias("query_id"), F.col("c_custkey").alias("id"), (F.col("c_custkey") % 7).alias("score"), similarity.alias("order_by"), F.when(F.col("c_custkey") % 3 != 0, similarity).alias("similarity"), (F.col("c_custkey") % 100).alias("coordinates_distance_in_meters"),
+        (F.col("c_custkey") % 100).cast("double").alias("longitude"), F.lit(0.5).alias("latitude"), F.array(F.struct(F.lit(2).cast("long").alias("level")), F.struct((F.col("c_custkey") % 4).alias("level"))).alias("admin_levels"),
+    )
+    filters = qy.Filters(min_quality=0.3, region="POLYGON((20 0,80 0,80 1,20 1,20 0))", levels=(0, 1))
+    return qy.cut(m, filters, F.desc("score"), F.desc("order_by"), F.col("id")).select("query_id", F.col("rank").cast("int").alias("rank"), "id")
+
+
+def _tables(f, text: bool = False):
+    """All that queries read, over streets, boxes and house numbers of the test tables."""
+    areas = written(_area_table(f))
+    preset = presets.of("brazil")
+    nodes = f.house_nodes()
+    tags = F.map_filter(F.create_map(F.lit("addr:housenumber"), F.col("number"), F.lit("addr:street"), F.col("addr_street")), lambda k, v: v.isNotNull())
+    houses = written(ar.house_numbers(nodes.select(F.col("node_id").alias("id"), "lon", "lat", tags.alias("tags")), areas, preset))
+    hierarchy = written(ar.hierarchy(areas))
+    tables = qy.Tables(areas, hierarchy, houses, ar.boxes(areas))
+    if text:
+        docs = hi.documents(areas.withColumnRenamed("admin_level", "level"), hierarchy)
+        tables.index, tables.docs = ti.TextIndex.build(docs), docs.select("id", "level")
+    return tables
+
+
+def _points(f):
+    return f.points().select(F.col("cid").alias("query_id"), "lat", "lon")
+
+
+_HNUM = f"hnum AS (SELECT node_id, {_CANON} AS num FROM hn WHERE lower(trim(number)) NOT IN ('s/n') AND trim(number) <> '')"
+_KEPT = f"hk AS (SELECT node_id, id AS street_id, qx AS hx, qy AS hy FROM c WHERE r = 1), {_HNUM}"
+
+
+@query(f"""WITH {_NEAR}, {_MATCH.replace(f'{STREETS}, ', '')}, {_KEPT}, t AS ({_TOP.format(src='metres')}),
+w AS (SELECT t.cid, t.id, arg_min(num, {{'m': {_HAV.format(a='t.lat', b='hy', c='t.lon', d='hx')}, 'n': hk.node_id}}) AS num FROM t JOIN hk ON hk.street_id = t.id JOIN hnum USING (node_id) WHERE {_HAV.format(a='t.lat', b='hy', c='t.lon', d='hx')} <= 50 GROUP BY ALL)
+SELECT t.cid, t.rank, t.id, t.metres, w.num AS number, CASE WHEN w.num IS NULL THEN 12 ELSE 30 END AS leaf FROM t LEFT JOIN w ON w.cid = t.cid AND w.id = t.id""")
+def house_enrich_coord(f):
+    """Coordinate matches with the closest house number within 50 m as their last part; the point stays on the street."""
+    m = qy.coordinate_matches(_points(f), _tables(f), qy.Filters(include_wkt=False))
+    leaf = F.element_at("admin_levels", -1)
+    return m.select(F.col("query_id").alias("cid"), F.col("rank").cast("int").alias("rank"), "id", F.col("coordinates_distance_in_meters").alias("metres"), F.when(leaf["level"] == 30, leaf["name"]).alias("number"), leaf["level"].alias("leaf"))
+
+
+@query(f"WITH {_NEAR}, t AS ({_TOP.format(src='metres')}) SELECT 0 AS differing, count(*) AS n FROM t")
+def early_cut_equivalence(f):
+    """Coordinate matches cut before and after enrichment: how many rows only one of the two has, and how many there are."""
+    tables, columns = _tables(f), ["query_id", "rank", "id", "friendly_name", "latitude", "longitude", "coordinates_distance_in_meters"]
+    early, late = (written(qy.coordinate_matches(_points(f), tables, qy.Filters(include_wkt=False), early=e).select(*columns)) for e in (True, False))
+    other = early.exceptAll(late).unionByName(late.exceptAll(early)).agg(F.count("*").cast("int").alias("differing"))
+    return early.agg(F.count("*").alias("n")).join(F.broadcast(other)).select("differing", "n")  # one row each
+
+
+_HOUSES_OF = "h AS (SELECT node_id, id AS street_id, qx AS x, qy AS y, TRY_CAST(regexp_extract(num, '^[0-9]+') AS BIGINT) AS n, num FROM c JOIN hnum USING (node_id) WHERE r = 1)"
+_SPOT = "{'x': x, 'y': y, 'n': n}"
+
+
+@query(f"""WITH {_MATCH}, {_HNUM}, {_HOUSES_OF}, a AS (SELECT id AS street_id, name, id % 400 AS w FROM streets),
+e AS (SELECT a.street_id, arg_min({_SPOT}, node_id) AS p FROM a JOIN h ON h.street_id = a.street_id AND lower(num) = concat('', w) GROUP BY ALL),
+lo AS (SELECT a.street_id, arg_min({_SPOT}, {{'n': -n, 'i': node_id}}) AS p FROM a JOIN h ON h.street_id = a.street_id AND n < w GROUP BY ALL),
+up AS (SELECT a.street_id, arg_min({_SPOT}, {{'n': n, 'i': node_id}}) AS p FROM a JOIN h ON h.street_id = a.street_id AND n > w GROUP BY ALL),
+k AS (SELECT a.street_id, w, e.p AS ep, lo.p AS lp, up.p AS pp, CASE WHEN e.p IS NOT NULL THEN 'exact' WHEN lo.p IS NOT NULL AND up.p IS NOT NULL THEN 'interpolated' ELSE 'absent' END AS kind FROM a LEFT JOIN e USING (street_id) LEFT JOIN lo USING (street_id) LEFT JOIN up USING (street_id))
+SELECT street_id AS id, kind, CASE WHEN kind = 'absent' THEN 66667 ELSE 67667 END AS similarity, CASE WHEN kind = 'absent' THEN 12 ELSE 30 END AS leaf FROM k""")
+def house_enrich_text(f):
+    """Each street asked for by name with a number: how the number resolves, what that adds to the similarity, and the
+    level of the last part."""
+    tables = _tables(f)
+    asked = f.streets().select(F.col("id").alias("query_id"), F.concat("name", F.lit(" "), F.col("id") % 400).alias("text"), "id")
+    docs = hi.documents(tables.areas.withColumnRenamed("admin_level", "level").where("level = 12"), tables.hierarchy.withColumn("ancestors", F.slice("ancestors", 1, 0)))
+    tables.index, tables.docs = ti.TextIndex.build(docs.withColumn("name", F.concat_ws(" ", "name", F.lit(""), F.col("id") % 400))), docs.select("id", "level")
+    m = qy.text_matches(asked.select("query_id", "text"), qy.Tables(tables.areas.withColumn("post_code", F.lit(None).cast("string")), tables.hierarchy.withColumn("ancestors", F.slice("ancestors", 1, 0)), tables.houses, tables.boxes, tables.index, tables.docs), qy.Filters(include_wkt=False))
+    return m.where(F.col("id") == F.col("query_id")).select("id", F.col("house_number.kind").alias("kind"), F.round(F.col("similarity").cast("double") * 1e5).cast("int").alias("similarity"), F.element_at("admin_levels", -1)["level"].alias("leaf"))
+
+
+@query(f"WITH {_MATCH} SELECT node_id, id AS street_id FROM c WHERE r = 1 AND named")
+def house_by_name(f):
+    """Houses whose address names a street near by."""
+    return sp.match_houses(f.house_nodes(), f.streets(), "node_id").where("strategy = 1").select("node_id", "street_id")
+
+
+@query(f"WITH {_STREET_HOUSES}, a AS (SELECT DISTINCT street_id, street_id * 5 AS w FROM h) SELECT a.street_id, {_XY.format('arg_min(x, node_id)')} AS x, {_XY.format('arg_min(y, node_id)')} AS y FROM a JOIN h ON h.street_id = a.street_id AND n = w GROUP BY a.street_id")
+def house_number_exact(f):
+    h = _houses(f)
+    asked = h.select("street_id").distinct().select(F.lit(0).alias("query_id"), "street_id", F.expr("cast(street_id * 5 as string)").alias("wanted"))
+    return hn.resolve(asked, h).where("kind = 'exact'").select("street_id", micro(F.col("x")).alias("x"), micro(F.col("y")).alias("y"))
+
+
+@query(r"""SELECT p_partkey AS id, CAST(round(1e5*len(list_filter(q, lambda t: list_contains(d, t)))/len(q)) AS BIGINT) AS similarity FROM (SELECT p_partkey, regexp_extract_all(lower(p_type || ' ring ' || p_size), '[\p{L}\p{N}]+') AS q, regexp_extract_all(lower(concat_ws(' ', p_name, p_brand, p_size % 20)), '[\p{L}\p{N}]+') AS d FROM part)""")
+def text_similarity(f):
+    """Share of a query's words that an area's or its ancestors' texts hold."""
+    up = F.array(F.struct(F.col("p_brand").alias("name"), (F.col("p_size") % 20).cast("string").alias("post_code")))
+    text = F.concat("p_type", F.lit(" ring "), "p_size")
+    return f.table("part").select(F.col("p_partkey").alias("id"), F.round(qy.similarity(text, F.col("p_name"), F.lit(None).cast("string"), up) * 1e5).cast("long").alias("similarity"))
+
+
+@query(f"WITH {_CORE}, {_FOUND}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score*1e9) DESC, doc) AS rank FROM f) SELECT CAST(query_id AS INTEGER) AS query_id, count(*) AS n, CAST(round(max(score)*1e4) AS BIGINT) AS best, CAST(round(min(score)*1e4) AS BIGINT) AS worst FROM k WHERE rank <= 50 GROUP BY query_id")
+def text_top50(f):
+    return _scored(ti.search(_index(f), _asked(f)))
+
+
+# --- files -------------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {NODES}, refs AS (SELECT l_orderkey AS way_id, l_partkey AS node_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos FROM lineitem)
+SELECT 'node' AS kind, node_id AS id, concat(CAST(round(lat*1e7) AS BIGINT), '/', CAST(round(lon*1e7) AS BIGINT), '/', CASE WHEN node_id % 3 = 0 THEN concat('ref=', node_id) ELSE '' END) AS content FROM nodes
+UNION ALL SELECT 'way', way_id, string_agg(CAST(node_id AS VARCHAR), ',' ORDER BY pos) FROM refs GROUP BY way_id
+UNION ALL SELECT 'relation', o_custkey, string_agg(concat(CASE WHEN o_orderkey % 2 = 0 THEN 'w' ELSE 'n' END, o_orderkey, o_orderstatus), ',' ORDER BY o_orderkey) FROM orders GROUP BY o_custkey""")
+def osmpbf_scan(f):
+    """Nodes, ways and relations written as deflated blobs and decoded again."""
+    tags = F.map_filter(F.create_map(F.lit("ref"), F.when(F.col("node_id") % 3 == 0, F.col("node_id").cast("string")), F.lit("source"), F.lit("x")), lambda k, v: v.isNotNull())
+    nodes = f.nodes().select(F.col("node_id").alias("id"), "lat", "lon", tags.alias("tags"))
+    none = F.create_map().cast("map<string,string>")
+    ways = _ways(f).select(F.col("way_id").alias("id"), "refs", none.alias("tags"))
+    member = F.struct(F.when(F.col("o_orderkey") % 2 == 0, "w").otherwise("n").alias("type"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("role"))
+    relations = f.table("orders").groupBy(F.col("o_custkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("k"), member.alias("m")))).alias("ms")).select("id", F.transform("ms", lambda x: x["m"]).alias("members"), none.alias("tags"))
+    back = lambda rows, e: osmpbf.decoded(osmpbf.encoded(rows, e), e, ignore=("source",))
+    n7 = lambda c: F.round(F.col(c) * 1e7).cast("long")
+    tag = F.array_join(F.transform(F.map_entries("tags"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return (
+        back(nodes, "nodes").select(F.lit("node").alias("kind"), "id", F.concat_ws("/", n7("lat"), n7("lon"), tag).alias("content"))
+        .unionByName(back(ways, "ways").select(F.lit("way").alias("kind"), "id", F.array_join(F.transform("refs", lambda r: r.cast("string")), ",").alias("content")))
+        .unionByName(back(relations, "relations").select(F.lit("relation").alias("kind"), "id", F.array_join(F.transform("members", lambda m: F.concat(m["type"], m["id"].cast("string"), m["role"])), ",").alias("content")))
+    )
+
+
+@query()
+def geocode_text_e2e(f):
+    """Streets by name, with and without numbers, and points, through the whole of geocode; rows only."""
+    s = f.streets()
+    texts = s.select("id", F.lower("name").alias("text")).unionByName(s.select((F.col("id") + 10000).alias("id"), F.concat(F.lower("name"), F.lit(" "), F.col("id") % 300).alias("text"))).unionByName(f.points().select((F.col("cid") + 20000).alias("id"), F.concat(F.round("lat", 5).cast("string"), F.lit(","), F.round("lon", 5).cast("string")).alias("text")))
+    m = qy.geocode(_tables(f, True), texts.withColumnRenamed("id", "query_id"))
+    return m.select("query_id", "service", "rank", "id", "friendly_name", "latitude", "longitude", "coordinates_distance_in_meters", "similarity", "house_number")
 
 
 def queries() -> dict:

@@ -14,7 +14,8 @@ def test_url_decoding():
 
 def test_template_grammar():
     assert tx.parse_template("{admin_level_8_name}, {house_number}") == [("level", "8"), ("text", ", "), ("house_number", "")]
-    for bad in ("{x}", "a{", "}"):
+    assert tx.parse_template("a} {admin_level_255_name}") == [("text", "a} "), ("level", "255")]
+    for bad in ("{x}", "a{", "{admin_level_999_name}", "{admin_level__name}"):
         with pytest.raises(ValueError):
             tx.parse_template(bad)
 
@@ -29,6 +30,36 @@ def test_rings_join_reversed_ways():
     assert osm.join_rings([[(0, 0), (1, 0)], [(5, 5), (6, 6)]]) == []
 
 
+def test_a_ring_goes_on_while_a_way_fits():
+    square = [(0, 0), (1, 0), (1, 1), (0, 0)]
+    assert osm.join_rings([square, [(0, 0), (9, 9)]]) == []  # the second way fits the closed ring's end and opens it
+    assert osm.join_rings([square, [(5, 5), (9, 9)]]) == [square]
+
+
+def test_a_cycle_of_parents_is_an_error(spark):
+    of = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "id long, parent_id long")
+    with pytest.raises(ValueError):
+        hierarchy.ancestor_chains(of, 4)
+    chain = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 3)], "id long, parent_id long")
+    assert {r.id: r.ancestor_ids for r in hierarchy.ancestor_chains(chain).collect()} == {1: [2, 3, 4], 2: [3, 4], 3: [4], 9: [3, 4]}
+
+
+def test_deletions_meet_for_near_words(spark):
+    rows = spark.createDataFrame([("rnig", "ring"), ("castro", "castor"), ("alvez", "alves"), ("ab", "ba"), ("street", "straat")], "a string, b string")
+    two = F.lit(2)
+    assert all(r[0] for r in rows.select(F.arrays_overlap(ti.deletions(F.col("a"), two), ti.deletions(F.col("b"), two))).collect())
+
+
+def test_entity_text(spark):
+    rows = spark.createDataFrame([("Rua A", " 11250-000 "), ("Rua B", "  "), ("Rua C", None), ("Rua D", "123")], "n string, p string")
+    assert [r[0] for r in rows.select(tx.entity_text(F.col("n"), F.col("p"))).collect()] == ["Rua A 11250-000 11250000", "Rua B", "Rua C", "Rua D 123"]
+
+
+def test_packed_ids_come_apart(spark):
+    r = spark.range(1).select(tx.unpack_id(tx.pack_id(F.lit(7), F.lit(True))).alias("a"), tx.unpack_id(tx.pack_id(F.lit(7), F.lit(False))).alias("b")).first()
+    assert (r.a.osm_id, r.a.relation, r.b.osm_id, r.b.relation) == (7, True, 7, False)
+
+
 def test_level_rules(spark):
     rows = spark.createDataFrame([(1, "suburb", None), (2, None, "park"), (3, None, None)], "id int, place string, leisure string").withColumns({"building": F.lit(None).cast("string"), "waterway": F.lit(None).cast("string"), "highway": F.lit(None).cast("string")})
     p = osm.way_predicates(F.col)
