@@ -5,8 +5,9 @@ are assigned to classes by the exchange algorithm: a word moves to the class tha
 text most.  It begins, sweep after sweep, with the most frequent words and, for all others, their endings.  Then every
 other word that occurs `LEAST` times is moved by its own counts of classes before and after it, all words of a round at
 once, and a round stays if the likelihood has risen.  Words too rare for that have their ending's class, and a
-probability in its unit by their count.  What training has not seen is one more word of each unit, with the mass that
-words seen once have (Good-Turing).
+probability in its unit by their count.  Words that training has not seen have, all together, as much of their unit as
+words seen once (Good-Turing), shared among as many as there may be (Chao's estimate from words seen once and twice, and
+no fewer than those seen once), so an unseen word is never likelier than one seen once.
 
 All counts cover all training texts.  The clustered words, with classes and counts, go to every task (17 bytes a word);
 counts of the rare words stay distributed and meet the tokens that need them in a join.
@@ -28,8 +29,8 @@ from .common import discard, remainder, written
 HEADS, ENDINGS, CLASSES, SWEEPS = 768, 255, 64, 5
 #: Occurrences from which a word is clustered by its own counts, and rounds in which that is done.
 LEAST, ROUNDS = 32, 2
-#: A task's counts are passed on when it holds so many different words.
-MOST_HELD = 1 << 21
+#: A task's counts are passed on when it holds so many different words, and texts are read in pieces of so many bytes.
+MOST_HELD, PIECE = 1 << 19, 1 << 18
 
 END = np.uint64(0x454E44)  # the end token's hash; a word's is mixed, so a clash is as unlikely as between two words
 END_CODE = -1
@@ -65,7 +66,7 @@ def _count():
     def run(batches):
         held, size, endings = [], 0, {}
         for batch in tb.slices(batches):
-            for _, _, raws in tb.batches(batch.column("text").to_pylist()):
+            for _, _, raws in tb.batches(batch.column("text").to_pylist(), PIECE):
                 hashes, code, _ = _tokens(raws)
                 held.append(merged([(hashes.view(np.int64), code, np.ones(len(code), np.int64))]))
                 for c, n in zip(*np.unique(code, return_counts=True)):
@@ -115,7 +116,7 @@ def _bigrams(units: Units):
     def run(batches):
         counts = np.zeros(units.n * units.n, np.int64)
         for batch in tb.slices(batches):
-            for _, _, raws in tb.batches(batch.column("text").to_pylist()):
+            for _, _, raws in tb.batches(batch.column("text").to_pylist(), PIECE):
                 hashes, code, _ = _tokens(raws)
                 unit = units.of(hashes, code)
                 end = units.of(np.array([END]), np.array([END_CODE]))
@@ -230,7 +231,7 @@ def _contexts(shared, words: bool):
         held, size = [], 0
         end = [x[0] for x in known.find(np.array([END]), np.array([END_CODE]))]
         for batch in tb.slices(batches):
-            for _, _, raws in tb.batches(batch.column("text").to_pylist()):
+            for _, _, raws in tb.batches(batch.column("text").to_pylist(), PIECE):
                 at, _, c = known.find(*_tokens(raws)[:2])
                 pairs += np.bincount(np.append(end[2], c[:-1]) * k + c, minlength=k * k)
                 if not words:
@@ -349,8 +350,9 @@ class ClassModel:
     step: np.ndarray  # log10 of class after class
     total: np.ndarray  # log10 of a class's tokens
     emit: np.ndarray  # log10 of an ending's unit in its class
-    mass: np.ndarray  # tokens of an ending's rare words, and what unseen words have of it
+    mass: np.ndarray  # tokens of an ending's rare words, what all unseen words have beside them, and what one has
     unseen: np.ndarray
+    one_unseen: np.ndarray
     tokens: int
     kinds: int
 
@@ -397,25 +399,27 @@ def train(docs: DataFrame, heads: int = HEADS, endings: int = ENDINGS, classes:
     step = (pair + kinds_after * alone[None, :]) / (pair.sum(axis=1, keepdims=True) + kinds_after)
     # the tokens of the words that are not clustered, and the words seen once, by unit
     ending = F.create_map(*[F.lit(x) for i, c in enumerate(rest.endings) for x in (int(c), 1 + i)])[F.col("code")] if len(rest.endings) else F.lit(None).cast("int")
-    rare = words.where(F.col("n") < least).join(small, "key", "left_anti").groupBy(F.coalesce(ending, F.lit(0)).alias("unit")).agg(F.sum("n"), F.count(F.when(F.col("n") == 1, 1))).collect()  # one row a unit
-    mass, unseen = np.zeros(rest.n), np.full(rest.n, 0.5)
-    for u, m, c in rare:
-        mass[u] = m
-        unseen[u] += c
-    total = np.bincount(moved, np.maximum(n, 0.5), known.k) + np.bincount(of_rest, mass + 0.5, known.k)
-    return ClassModel(known, n, np.log10(step), np.log10(np.maximum(total, 0.5)), np.log10((mass + 0.5) / total[of_rest]), mass, unseen, int(tokens), int(kinds)), words.select("key", "n")
+    rare = words.where(F.col("n") < least).join(small, "key", "left_anti").groupBy(F.coalesce(ending, F.lit(0)).alias("unit")).agg(F.sum("n"), F.count(F.when(F.col("n") == 1, 1)), F.count(F.when(F.col("n") == 2, 1))).collect()  # one row a unit
+    mass, unseen, one_unseen = np.zeros(rest.n), np.full(rest.n, 0.5), np.full(rest.n, 0.5)
+    for u, m, once, twice in rare:
+        mass[u], unseen[u] = m, once + 0.5
+        one_unseen[u] = unseen[u] / max(once * (once - 1) / (2 * (twice + 1)), once + 0.5)
+    share = mass + unseen  # of a unit, in tokens: so a class's words and its unseen words add up to one
+    total = np.bincount(moved, np.maximum(n, 0.5), known.k) + np.bincount(of_rest, share, known.k)
+    return ClassModel(known, n, np.log10(step), np.log10(np.maximum(total, 0.5)), np.log10(share / total[of_rest]), mass, unseen, one_unseen, int(tokens), int(kinds)), words.select("key", "n")
 
 
 def _score(shared):
-    """A row for each text (kind 0: its tokens, and what is known here of its sums), and one for each different rare word
-    of a text (kind 1: hash, unit, times)."""
+    """A row for each text (kind 0: its id and tokens, and what is known here of its sums), and one for each different rare
+    word of a text (kind 1: hash, unit, times).  Texts are numbered by task and place."""
 
     def run(batches):
-        model = shared.value
-        names = ["kind", "row", "key", "unit", "times", "base", "score"]
+        from pyspark import TaskContext
+
+        model, row = shared.value, TaskContext.get().partitionId() << 40
+        names = ["kind", "row", "doc_id", "held_out", "key", "unit", "times", "base", "score"]
         for batch in tb.slices(batches):
-            rows = batch.column("row").to_numpy()
-            for a, b, raws in tb.batches(batch.column("text").to_pylist()):
+            for a, b, raws in tb.batches(batch.column("text").to_pylist(), PIECE):
                 hashes, code, bounds = _tokens(raws)
                 at, unit, c = model.known.find(hashes, code)
                 before = np.roll(c, 1)
@@ -424,17 +428,21 @@ def _score(shared):
                 count = np.where(found, model.counts[at], 0)
                 score = model.step[before, c] + np.where(found, np.log10(np.maximum(count, 0.5)) - model.total[c], model.emit[unit])
                 sums = lambda x: np.add.reduceat(x, bounds[:-1])
-                n = np.diff(bounds)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b - a, np.int8)), pa.array(rows[a:b]), pa.array(n), pa.array(sums(found.astype(np.int64)).astype(np.int32)), pa.array(np.zeros(b - a, np.int64)), pa.array(sums(np.where(found, model.base(count), 0))), pa.array(sums(score))], names)
+                n, rows = np.diff(bounds), np.arange(row, row + b - a)
+                row += b - a
+                zero = pa.array(np.zeros(b - a, np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.zeros(b - a, np.int8)), pa.array(rows), *(batch.column(x).slice(a, b - a) for x in ("doc_id", "held_out")), zero, pa.array(sums(found.astype(np.int64)).astype(np.int32)), pa.array(n), pa.array(sums(np.where(found, model.base(count), 0))), pa.array(sums(score))], names
+                )
                 rare = np.flatnonzero(~found)
                 if len(rare):
-                    text = np.repeat(np.arange(a, b), n)[rare]
+                    text = np.repeat(np.arange(b - a), n)[rare]
                     order = np.lexsort((hashes[rare], text))
                     text, key, u = text[order], hashes[rare][order], unit[rare][order]
                     first = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (key[1:] != key[:-1])]))
-                    times = np.diff(np.append(first, len(text)))
-                    zero = np.zeros(len(first))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(first), np.int8)), pa.array(rows[text[first]]), pa.array(key[first].view(np.int64)), pa.array(u[first].astype(np.int32)), pa.array(times), pa.array(zero), pa.array(zero)], names)
+                    times, zero = np.diff(np.append(first, len(text))), np.zeros(len(first))
+                    none = [pa.nulls(len(first), batch.column(x).type) for x in ("doc_id", "held_out")]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(first), np.int8)), pa.array(rows[text[first]]), *none, pa.array(key[first].view(np.int64)), pa.array(u[first].astype(np.int32)), pa.array(times), pa.array(zero), pa.array(zero)], names)
 
     return run
 
@@ -449,19 +457,20 @@ def score_documents(docs: DataFrame, held_out: Column, learned: Column) -> DataF
     spark = docs.sparkSession
     model, words = train(docs.where(learned))
     shared = spark.sparkContext.broadcast(model)
-    own = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out.alias("held_out"), "text")
-    told = written(own.select("row", "text").mapInArrow(_score(shared), "kind byte, row long, key long, unit int, times long, base double, score double"))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    own = docs.select("doc_id", held_out.alias("held_out"), "text")
+    told = written(own.mapInArrow(_score(shared), f"kind byte, row long, doc_id {id_type}, held_out boolean, key long, unit int, times long, base double, score double"))
     rare = told.where("kind = 1").select("row", "key", "unit", "times").join(words, "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    # a unit's mass and unseen share, as a table of one row a unit
-    facts = spark.createDataFrame([(i, float(m), float(u)) for i, (m, u) in enumerate(zip(model.mass, model.unseen))], "unit int, mass double, unseen double")
-    in_unit = F.log10(F.when(F.col("n") > 0, F.col("n").cast("double")).otherwise(F.col("unseen")) / (F.col("mass") + F.col("unseen")))
+    # a unit's mass and unseen words, as a table of one row a unit
+    facts = spark.createDataFrame([(i, float(m), float(u), float(o)) for i, (m, u, o) in enumerate(zip(model.mass, model.unseen, model.one_unseen))], "unit int, mass double, unseen double, one double")
+    in_unit = F.log10(F.when(F.col("n") > 0, F.col("n").cast("double")).otherwise(F.col("one")) / (F.col("mass") + F.col("unseen")))
     of_rare = (
         rare.join(F.broadcast(facts), "unit")
         .groupBy("row")
         .agg(F.sum(F.when(F.col("n") > 0, F.col("times"))).alias("known"), F.sum(F.col("times") * F.log10((F.col("n") + 1.0) / F.lit(model.tokens + model.kinds + 1.0))).alias("rare_base"), F.sum(F.col("times") * in_unit).alias("rare_score"))
     )
-    texts = told.where("kind = 0").select("row", F.col("key").alias("n_tokens"), F.col("unit").cast("long").alias("here"), "base", "score")
-    out = own.select("row", "doc_id", "held_out").join(texts, "row").join(of_rare, "row", "left")
+    texts = told.where("kind = 0").select("row", "doc_id", "held_out", F.col("times").alias("n_tokens"), F.col("unit").cast("long").alias("here"), "base", "score")
+    out = texts.join(of_rare, "row", "left")
     zero = lambda c, z: F.coalesce(F.col(c), F.lit(z))
     return out.select("doc_id", "held_out", "n_tokens", (F.col("here") + zero("known", 0)).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base") + zero("rare_base", 0.0)).alias("base_score"), (F.col("score") + zero("rare_score", 0.0)).alias("score"))
 
