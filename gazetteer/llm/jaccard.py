@@ -32,6 +32,8 @@ FREQUENCY_BITS = 18
 NEEDED_BITS = 20
 #: Holders are verified against hubs if the pairs left would be more than so many times the rows left.
 ROUND_GAIN = 8
+#: Random orders of the nodes that shingles' holders are put in.
+ORDERS = 2
 #: Hash ranges of the suffix bound.
 RANGES = 128
 
@@ -65,13 +67,14 @@ def _bucket(s: np.ndarray) -> np.ndarray:
 
 
 def _describe(n: int):
-    """A row for each document (node, set size, shingle counts by hash range), then the task's shingle counts by
-    frequency bucket."""
+    """A row for each document (node, set size, shingle counts by hash range), then the task's shingle counts by frequency
+    bucket, which stands in place of the node."""
 
     def run(batches):
         counts = np.zeros(1 << FREQUENCY_BITS, np.int64)
-        names, ranges_of = ["counted", "doc_id", "n", "node", "ranges"], pa.list_(pa.int16())
+        names, ranges_of, id_type = ["counted", "doc_id", "n", "node", "ranges"], pa.list_(pa.int16()), pa.null()
         for batch in tb.slices(batches):
+            id_type = batch.column("doc_id").type
             sizes, nodes, ranges, held = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows, []
             for i, s in _sets(batch, n):
                 sizes[i], nodes[i] = len(s), node_of(s)
@@ -81,7 +84,8 @@ def _describe(n: int):
                 counts += np.bincount(_bucket(np.concatenate(held)), minlength=len(counts))
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, bool)), batch.column("doc_id"), pa.array(sizes), pa.array(nodes, mask=sizes == 0), pa.array(ranges, ranges_of)], names)
         met = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(met), bool)), pa.array(met), pa.array(counts[met]), pa.nulls(len(met), pa.int64()), pa.nulls(len(met), ranges_of)], names)
+        if len(met):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(met), bool)), pa.nulls(len(met), id_type), pa.array(counts[met]), pa.array(met), pa.nulls(len(met), ranges_of)], names)
 
     return run
 
@@ -179,7 +183,7 @@ class JaccardJoin:
         id_type = docs.schema["doc_id"].dataType.simpleString()
         told = written(self.docs.mapInArrow(_describe(words), f"counted boolean, doc_id {id_type}, n long, node long, ranges array<smallint>"))
         self.nodes = told.where(~F.col("counted")).drop("counted")
-        counts = told.where("counted").groupBy("doc_id").agg(F.sum("n").alias("n"))
+        counts = told.where("counted").groupBy("node").agg(F.sum("n").alias("n"))
         rank = np.zeros(1 << FREQUENCY_BITS, np.uint8)
         for bucket, c in counts.collect():  # a fixed number of buckets
             rank[bucket] = min(255, int(8 * np.log2(c + 1)))
@@ -194,7 +198,7 @@ class JaccardJoin:
     def in_company(self, rows: DataFrame) -> DataFrame:
         """The holders that share a shingle, each with the `next` one in a random order of the shingle's own.  A shingle's
         rows may lie in several partitions, so a frequent one is no burden to any task."""
-        order = [F.col("token"), F.xxhash64("token", "node"), F.col("node")]
+        order = [F.col("token"), F.xxhash64(F.pmod("token", F.lit(ORDERS)), "node"), F.col("node")]
         dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
         return written(dealt.mapInArrow(_company(self.t), "token long, place int, n int, node long, short boolean, next long"))
 
