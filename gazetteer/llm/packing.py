@@ -12,8 +12,11 @@ counts by partition and class.  Tokens never leave the task that made them; a ro
 
 from __future__ import annotations
 
+import gc
+import json
 import os
 import re
+import unicodedata
 import zlib
 from dataclasses import dataclass
 
@@ -168,17 +171,79 @@ class WordTokens:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
         # Where capitals and a closing mark's place make no difference, fewer words are distinct.
         one, other = (self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("Words, Ends. X9, \u00c9a. ", "words , ends . x9 , \u00c9a . "))
         self.folds = one == other
-        # Words of small ASCII letters alone are what they are after normalising and splitting: the model gets them as such.
-        self.bare = Tokenizer.from_file(path)
-        self.bare.normalizer = self.bare.pre_tokenizer = None
-        probe = "word"
-        self.skips = self.folds and self.bare.encode(probe, add_special_tokens=False).ids == self.tokenizer.encode(probe, add_special_tokens=False).ids
+        # Words of small letters alone are what they are after normalising and splitting.
+        self.unit_split = self._split_pattern(path) if self.folds else None
+        if self.unit_split:
+            self.units, vocabulary = Tokenizer.from_file(path), self.tokenizer.get_vocab()
+            self.units.normalizer, self.units.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(self.suffix)]] = True
+
+    def _split_pattern(self, path: str):
+        """The pattern that parts text before a byte-level model whose tokens mark where such a part ends; None for any other
+        kind of tokenizer, whose words are encoded one by one."""
+        import regex
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.suffix = spec["model"].get("end_of_word_suffix")
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        if not self.suffix or spec["model"]["type"] != "BPE" or [s["type"] for s in steps] != ["Split", "ByteLevel"]:
+            return None
+        split, level = steps
+        if not split["invert"] or split["behavior"] != "Removed" or "Regex" not in split["pattern"] or level["add_prefix_space"] or level["use_regex"]:
+            return None
+        return regex.compile(split["pattern"]["Regex"])
+
+    def _one_by_one(self, words: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def _learn_units(self, parts: list[bytes]) -> None:
+        """Puts the tokens of parts that the model takes whole among the known words: many go to the model in one text, and
+        the tokens that end a part tell where the next begins."""
+        flat = np.concatenate([np.array(e.ids, "<u4") for e in self.units.encode_batch_fast([_byte_text(b" ".join(parts[a : a + 256])) for a in range(0, len(parts), 256)], add_special_tokens=False)])
+        cuts = np.flatnonzero(self.ends[flat]) + 1
+        if len(cuts) != len(parts) or cuts[-1] != len(flat):
+            raise ValueError("the tokenizer's parts do not end where its tokens say")
+        raw, at = flat.tobytes(), (cuts * 4).tolist()
+        self.known.update(zip(parts, map(raw.__getitem__, map(slice, [0, *at[:-1]], at))))
+
+    def _learn(self, words: list[bytes]) -> None:
+        known = self.known
+        if not self.unit_split:
+            known.update(zip(words, self._one_by_one(words)))
+            return
+        plain, rest, alone = [], [], []
+        for w in words:
+            if w.isalpha() and w.islower():  # of bytes: ASCII only
+                plain.append(w)
+            elif b"<|" in w:
+                alone.append(w)
+            else:
+                u = w.decode("utf-8", "replace")
+                (plain if u.isalpha() and u.lower() == u and unicodedata.is_normalized("NFC", u) else rest).append(w)
+        if plain:
+            self._learn_units(plain)
+        whole = []
+        for a in range(0, len(rest), 256):
+            some = rest[a : a + 256]
+            normal = self.tokenizer.normalizer.normalize_str(" ".join(w.decode("utf-8", "replace") for w in some)).split(" ")
+            if len(normal) == len(some):
+                whole += [(w, [p.encode() for p in self.unit_split.findall(n)]) for w, n in zip(some, normal)]
+            else:  # a word that holds or becomes white space
+                alone += some
+        if new := list({p for _, parts in whole for p in parts}.difference(known)):
+            self._learn_units(new)
+        known.update((w, b"".join(map(known.__getitem__, parts))) for w, parts in whole)
+        if alone:
+            known.update(zip(alone, self._one_by_one(alone)))
 
     def encode(self, raws: list[bytes]) -> list[bytes]:
         texts = [(_MARK.sub(rb" \1", r.lower()) if self.folds and b"<|" not in r else r).split() for r in raws]
@@ -188,21 +253,33 @@ class WordTokens:
         new = set().union(*texts).difference(known)
         again = new.intersection(older)
         known.update((w, older[w]) for w in again)
-        new = list(new.difference(again))
-        plain = [w for w in new if w.isalpha() and w.islower()] if self.skips else []  # of bytes: ASCII only
-        for tokenizer, part in (self.bare, plain), (self.tokenizer, list(set(new).difference(plain)) if plain else new):
-            if part:
-                found = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-                known.update(zip(part, [np.array(e.ids, "<u4").tobytes() for e in found]))
+        if new := list(new.difference(again)):
+            self._learn(new)
         return [b"".join(map(known.__getitem__, words)) for words in texts]
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level models write bytes with: printable ones stand for themselves, the others, in order, for
+    the letters from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)} | {32: " "}
+
+
+_LETTERS = _byte_letters()
+
+
+def _byte_text(raw: bytes) -> str:
+    return raw.decode("latin-1").translate(_LETTERS)
+
+
 def _pieces(path: str, end: int, sequence: int, grain: int):
     """A row for each piece: where it is in its document, its checksum, its class, and its rank in its class and task."""
 
     def run(batches):
         from pyspark import TaskContext
 
+        gc.disable()  # words and tokens are bytes, which hold no cycles; looking through a large cache for some takes time
         part, tokens, tail = TaskContext.get().partitionId(), WordTokens.of(path), np.array([end], "<u4").tobytes()
         ranks = np.zeros(sequence // grain + 1, np.int64)
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "class", "rank"]
@@ -220,6 +297,7 @@ def _pieces(path: str, end: int, sequence: int, grain: int):
                             column.append(value)
                         ranks[c] += 1
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], batch.schema.field("doc_id").type), *(pa.array(r, pa.int64()) for r in rows[1:])], names)
+        gc.enable()
 
     return run
 
