@@ -1,49 +1,13 @@
-"""What the operators share: the shared scratch folder, written tables, and small column helpers."""
+"""What the operators share: written tables and small column helpers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as `spark.checkpoint.dir` names it.  Only where it is unset
-    (one machine, as in tests) a temporary folder of this process takes its place."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="gazetteer-"))
-    return f"{found.rstrip('/')}/{spark.sparkContext.applicationId}"
-
-
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+from ..scratch import discard, shared_dir, written
 
-
-def written(df: DataFrame) -> DataFrame:
-    """`df` as a table in the shared folder: its lineage ends there, and a lost executor costs no recomputation.  The
-    shuffle files that made it go as soon as it stands."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes written tables that nothing reads any more."""
-    for df in tables:
-        spark = df.sparkSession
-        for file in df.inputFiles()[:1]:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["ascii_lower", "discard", "remainder", "shared_dir", "table", "unused", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,3 +22,14 @@ def ascii_lower(text: Column) -> Column:
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id written as text, modulo n; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many marks before it as it takes to be no column of `df`."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -15,12 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, written
+from .common import ascii_lower, unused, written
 
 #: Words in a window.
 WINDOW = 10
 #: Most windows, or benchmark words, that are broadcast: some 60 MB at ten words a window.
 MOST_BROADCAST = 200_000
+#: ... and, all together, have at most so many bytes.
+MOST_BYTES = 32 << 20
 
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -54,7 +56,8 @@ def window_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_br
     n_words, and one row for each occurrence of an item's window in it: row, doc_id, n_words, item_id, start, length (in
     words, start from 0)."""
     windows = written(item_windows(items, window))
-    small = windows.count() <= most_broadcast
+    n, size = windows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.array_join("words", " "))), F.lit(0))).first()
+    small = n <= most_broadcast and size <= MOST_BYTES
     worded = docs.select("row", "doc_id", words_of(F.col("text")).alias("w"))
     prefix = written(rarest_first(windows, worded, small))
     base = (F.col("word").isNull()).alias("base")
@@ -66,6 +69,7 @@ def window_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_br
         fits = (start >= 0) & (start + F.col("length") <= F.size("w"))
         same = F.slice("w", F.greatest(start, F.lit(0)) + 1, F.coalesce("length", F.lit(0))) == F.col("words")
         return found.where(F.col("word").isNull() | (fits & same)).select("row", "doc_id", F.size("w").cast("long").alias("n_words"), "item_id", F.when(~base, start).alias("start"), "length")
+    worded = written(worded)  # `row` must be the same on both sides of the join
     each = worded.select("row", F.posexplode("w").alias("at", "word"))
     candidates = each.join(prefix, F.col("word") == F.col("token")).where(F.col("at") >= F.col("offset")).select("row", "item_id", "words", "length", (F.col("at") - F.col("offset")).alias("start"))
     full = worded.join(candidates, "row").where((F.col("start") + F.col("length") <= F.size("w")) & (F.slice("w", F.col("start") + 1, F.col("length")) == F.col("words")))
@@ -100,10 +104,12 @@ def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, mos
     """The rows of `docs`, all columns, whose text holds no window of any item.
 
     Hits are told by two hashes of the text, as equal texts have equal hits.  While they are few the documents are
-    filtered where they are read; beyond `most_broadcast` they are shuffled to the hits.
+    filtered where they are read; beyond `most_broadcast` they are shuffled to the hits.  Null texts and texts without
+    words hold nothing and stay, as do all without items; equal texts stay or go together.  No rows give no rows.
     """
     key = F.struct(F.xxhash64("text").alias("a"), F.crc32(F.col("text").cast("binary")).alias("b"))
     hits = window_hits(docs.select(key.alias("row"), "doc_id", "text"), items, window, most_broadcast).where(F.col("start").isNotNull())
     hits = written(hits.select(F.col("row").alias("_hit_text")).distinct())
+    own = unused(docs, "_hit_text")[0]
     gone = F.broadcast(hits) if hits.count() <= most_broadcast else hits
-    return docs.withColumn("_hit_text", key).join(gone, "_hit_text", "left_anti").select(*docs.columns)
+    return docs.withColumn(own, key).join(gone.withColumnRenamed("_hit_text", own), own, "left_anti").select(*docs.columns)

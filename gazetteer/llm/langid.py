@@ -8,21 +8,22 @@ A text's prediction is the mean over all its windows, weighted by their bytes.
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import remainder
+from .common import remainder, unused
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
-#: At most so many labelled documents are used to fit (smallest hashes of their ids first), so many windows of each, and so
-#: many bytes of each are read on the driver, from a place that depends on the id.
-SAMPLE, WINDOWS_EACH = 6_000, 4
+#: At most so many windows of labelled texts are used to fit: from all windows of all of them, those of the smallest hashes.
+SAMPLE = 24_000
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -106,34 +107,38 @@ class ByteConvNet:
                     p[k] -= (rate * (m1[k] / (1 - 0.9**t)) / (np.sqrt(m2[k] / (1 - 0.99**t)) + 1e-7)).astype(np.float32)
 
 
-def sample_windows(seed: int, raw: bytes, n: int = WINDOWS_EACH) -> np.ndarray:
-    """Up to `n` windows from anywhere in the text."""
-    every = windows_of(raw)
-    return every[np.random.default_rng(seed).permutation(len(every))[:n]]
+def _draw(share: float):
+    """(hash, lang, window): each window of a text is drawn with the same chance, by a hash of the id, the text's length
+    and the window's place."""
+    limit = np.uint64(min(int(share * 2.0**64), 2**64 - 1))
 
-
-def _draw(wanted: np.ndarray):
     def run(batches):
         for batch in tb.slices(batches):
-            ids = batch.column("doc_id").to_pylist()
-            rows = [i for i in np.flatnonzero(np.isin(np.array(ids, np.int64), wanted))]
-            texts, langs = batch.column("text"), batch.column("lang")
-            out = [(langs[int(i)].as_py(), w.tobytes()) for i in rows for w in sample_windows(abs(ids[i]) + 1, texts[int(i)].as_py().encode("utf-8", "surrogatepass").lower())]
+            ids, texts, langs = batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("lang")
+            out = []
+            for i, size in enumerate(pc.binary_length(texts).to_pylist()):
+                n = max(1, -(-size // WINDOW))
+                with np.errstate(over="ignore"):
+                    keys = tb.mix(np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(zlib.crc32(f"{ids[i]} {size}".encode()) + 1))
+                if len(drawn := np.flatnonzero(keys <= limit)):
+                    every = windows_of(texts[i].as_py().encode("utf-8", "surrogatepass").lower())
+                    out += [(int(keys[j] >> np.uint64(1)), langs[i].as_py(), every[j].tobytes()) for j in drawn if j < len(every)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out]), pa.array([x[1] for x in out], pa.binary())], ["lang", "window"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out]), pa.array([x[2] for x in out], pa.binary())], ["key", "lang", "window"])
 
     return run
 
 
 def fit_language_id(docs: DataFrame, sample: int = SAMPLE) -> ByteConvNet | None:
-    """A network trained on windows of a bounded sample of labelled documents (not held out, text with words, doc_id and
-    lang present); None without any."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), 4) != 2))
-    ids = np.array([r[0] for r in labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()], np.int64)
-    if not len(ids):
+    """A network trained on a bounded sample of the windows of all labelled texts (not held out; text, doc_id and lang
+    present); None without any."""
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), 4) != 2)).select("doc_id", "text", "lang")
+    total = labelled.agg(F.sum(F.greatest(F.ceil(F.octet_length("text") / WINDOW), F.lit(1)))).first()[0]
+    if not total:
         return None
-    drawn = labelled.select("doc_id", "text", "lang").mapInArrow(_draw(ids), "lang string, window binary").collect()
-    drawn = sorted((r[0], bytes(r[1])) for r in drawn)
+    # a little more than the sample is drawn, and the smallest hashes of it are kept
+    drawn = labelled.mapInArrow(_draw(1.1 * sample / total), "key long, lang string, window binary").orderBy("key", "lang", "window").limit(sample).collect()
+    drawn = sorted((r[1], bytes(r[2])) for r in drawn)
     net = ByteConvNet(sorted({r[0] for r in drawn}))
     x = np.frombuffer(b"".join(r[1] for r in drawn), np.uint8).reshape(-1, WINDOW)
     y = np.array([net.languages.index(r[0]) for r in drawn])
@@ -170,19 +175,19 @@ def predict(net: ByteConvNet | None, texts: list) -> tuple[list[str], np.ndarray
     return langs, scores
 
 
-def _predictor(net: ByteConvNet | None):
+def _predictor(net: ByteConvNet | None, names: list[str]):
     def run(batches):
         for batch in tb.slices(batches):
             langs, scores = predict(net, batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "_lang", "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, *names])
 
     return run
 
 
-def with_language(docs: DataFrame, net: ByteConvNet | None) -> DataFrame:
-    """`docs` with `_lang` and `_score`; only the text is looked at."""
-    schema = docs.withColumns({"_lang": F.lit(""), "_score": F.lit(0.0)}).schema
-    return docs.mapInArrow(_predictor(net), schema)
+def with_language(docs: DataFrame, net: ByteConvNet | None, names: tuple[str, str] = ("_lang", "_score")) -> DataFrame:
+    """`docs` with language and score; only the text is looked at."""
+    schema = docs.withColumns({names[0]: F.lit(""), names[1]: F.lit(0.0)}).schema
+    return docs.mapInArrow(_predictor(net, list(names)), schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -197,6 +202,11 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def identified_documents(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of `docs`, all columns, whose language is found with a score of at least `least`."""
-    out = with_language(docs, fit_language_id(docs))
-    return out.where((F.col("_lang") != "und") & (F.col("_score") >= least)).drop("_lang", "_score")
+    """The rows of `docs`, all columns, whatever they are called, whose language is found with a score of at least `least`.
+
+    Null texts and texts without letters go; equal texts stay or go together.  Without labelled rows none stays.  No rows
+    give no rows.
+    """
+    lang, score = unused(docs, "_lang", "_score")
+    out = with_language(docs, fit_language_id(docs), (lang, score))
+    return out.where((F.col(lang) != "und") & (F.col(score) >= least)).drop(lang, score)

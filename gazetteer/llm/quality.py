@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import written
+from .common import unused, written
 
 #: Buckets of the n-gram table.
 BUCKETS = 1 << 15
@@ -66,14 +66,14 @@ def gram_buckets(raws: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray,
     return (every % np.uint64(buckets)).astype(np.int64), bounds * len(grams)
 
 
-def _counter(buckets: int, wanted: np.ndarray):
+def _counter(buckets: int, wanted: frozenset):
     """Raw counts of all documents and target counts of the wanted ones; one row for each bucket that a task has met."""
 
     def run(batches):
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for batch in tb.slices(batches):
             ids = batch.column("doc_id").to_pylist()
-            mine = np.isin(np.array([-1 if i is None else i for i in ids], np.int64), wanted)
+            mine = np.fromiter((i in wanted for i in ids), bool, len(ids))
             for a, b, raws in tb.batches(batch.column("text").to_pylist(), lower=False):
                 grams, bounds = gram_buckets(raws, buckets)
                 raw += np.bincount(grams, minlength=buckets)
@@ -101,7 +101,7 @@ def fit_weights(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bucket
     """The two models: raw from all of `docs`, target from the documents labelled quality 1 (at most `sample`).  Without
     such labels the ratio is 0 everywhere."""
     good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    wanted = np.array([r[0] for r in good.collect()], np.int64)
+    wanted = frozenset(r[0] for r in good.collect())
     counts = docs.select("doc_id", "text").mapInArrow(_counter(buckets, wanted), "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target"))
     raw, target = np.zeros(buckets), np.zeros(buckets)
     for b, r, t in counts.collect():  # one row a bucket: a fixed number
@@ -113,8 +113,9 @@ def fit_weights(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bucket
     return Weights(np.log(p) - np.log(q))
 
 
-def _with_keys(weights: Weights):
-    """Adds `log_weight` and `noise` (standard Gumbel, from a hash of seed, id and text); null for texts without words."""
+def _with_keys(weights: Weights, names: list[str]):
+    """Adds the log-weight and the key, which is the weight and noise (standard Gumbel, from a hash of seed, id and text);
+    null for texts without words."""
 
     def run(batches):
         for batch in tb.slices(batches):
@@ -129,7 +130,7 @@ def _with_keys(weights: Weights):
                 empty = np.array([not r.strip() for r in raws])
                 out[a:b] = np.where(empty, np.nan, got)
             null = np.isnan(out)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64(), mask=null), pa.array(np.where(null, 0, out + noise), pa.float64(), mask=null)], [*batch.schema.names, "_log_weight", "_key"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64(), mask=null), pa.array(np.where(null, 0, out + noise), pa.float64(), mask=null)], [*batch.schema.names, *names])
 
     return run
 
@@ -140,11 +141,11 @@ def hash_of(seed: int, doc_id, raw: bytes) -> int:
     return xxhash.xxh64_intdigest(raw, seed) ^ xxhash.xxh64_intdigest(str(doc_id).encode(), seed + 1)
 
 
-def with_keys(docs: DataFrame, weights: Weights) -> DataFrame:
-    schema = docs.withColumns({"_log_weight": F.lit(0.0), "_key": F.lit(0.0)}).schema
+def with_keys(docs: DataFrame, weights: Weights, names: tuple[str, str] = ("_log_weight", "_key")) -> DataFrame:
+    schema = docs.withColumns(dict.fromkeys(names, F.lit(0.0))).schema
     for field in schema.fields:
         field.nullable = True
-    return docs.mapInArrow(_with_keys(weights), schema)
+    return docs.mapInArrow(_with_keys(weights, list(names)), schema)
 
 
 def kth_largest(keys: DataFrame, k: int) -> float:
@@ -212,6 +213,12 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFr
 
 
 def selected_documents(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
-    """The selected rows of `docs`, all columns."""
+    """The selected rows of `docs`, all columns, whatever they are called.
+
+    Null and empty texts, and texts of white space, go.  Equal rows stay or go together, as do ties at the k-th place; a
+    null id is no labelled one.  Without good labels every text with words stays (or k of them, by noise alone).  No rows
+    give no rows.
+    """
     chosen, _ = fit_selection(docs, labels, k)
-    return with_keys(docs, chosen.weights).where(F.col("_key") >= chosen.threshold).drop("_key", "_log_weight")
+    weight, key = unused(docs, "_log_weight", "_key")
+    return with_keys(docs, chosen.weights, (weight, key)).where(F.col(key) >= chosen.threshold).drop(weight, key)
