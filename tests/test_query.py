@@ -89,7 +89,7 @@ def test_filters(town):
     ids = lambda *texts, **o: [[m.id for m in found] for found in ask(town, *texts, include_wkt=False, **o)]
     assert ids("0.0001,0.0041", "rua do porto xyz", min_quality=0.85) == [[20], []]
     assert ids("0.0001,0.0041", "porto", region="POLYGON((-1 0.0005,0.2 0.0005,0.2 1,-1 1,-1 0.0005))") == [[22], [22]]
-    assert ids("0.0001,0.0041", "rua do porto 200", "city", levels=(12,)) == [[22], [24, 20], []]  # a resolved number makes 30 the last level
+    assert ids("0.0001,0.0041", "rua do porto 200", "city", levels=(12,)) == [[22], [24, 20], [24, 20, 22]]  # a resolved number makes 30 the last level
     for bad in ({"region": "POINT(0 0)"}, {"template": "{what}"}):
         with pytest.raises(ValueError):
             ask(town, "0,0", **bad)
