@@ -663,7 +663,7 @@ _RINGS = """rp AS (SELECT e.id, b.id + 1000000 AS pid, row_number() OVER (PARTIT
  ON lon >= minx AND lon < maxx AND lat >= miny AND lat < maxy AND NOT (b.level = 4 AND lon >= (minx+maxx)/2 AND lat >= (miny+maxy)/2) AND b.id + 1000000 <> e.id AND b.level < e.level)"""
 
 
-@query(f"WITH {_B}, {_E}, {_RINGS} SELECT id, pid AS parent_id FROM rp WHERE r = 1 AND id < 1000000")
+@query(f"WITH {_B}, {_E}, {_RINGS} SELECT id, CAST(pid AS BIGINT) AS parent_id FROM rp WHERE r = 1 AND id < 1000000")
 def hierarchy_parent_rings(f):
     """Streets' parents where the nations are no boxes."""
     areas, b = _areas(f)

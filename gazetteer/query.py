@@ -245,14 +245,10 @@ def geocode(tables: Tables | Workspace, queries: DataFrame, **options) -> DataFr
 
 
 def as_json(matches: DataFrame) -> DataFrame:
-    """(query_id, output): one document a query that has matches, shapes as the service gives them: no `wkt` and no
-    `house_number` where there is none, other missing values null."""
-    part = F.struct("level", "name", "osm_relation_id", "osm_way_id")
+    """(query_id, output): one JSON document a query that has matches, in order of rank, missing values as null."""
     one = F.struct(*[F.col(c) for c in COLUMNS if c not in ("query_id", "service", "rank")])
-    keep_null = {"ignoreNullFields": "false"}
-    g = matches.groupBy("query_id").agg(F.first("service").alias("service"), F.array_sort(F.collect_list(F.struct("rank", one.alias("m")))).alias("ms"))
-    del part
-    return g.select("query_id", F.to_json(F.struct("service", F.transform("ms", lambda m: m["m"]).alias("matches")), keep_null).alias("output"))
+    g = matches.groupBy("query_id").agg(F.first("service").alias("service"), F.array_sort(F.collect_list(F.struct("rank", one.alias("m")))).alias("ms"))  # ten at most
+    return g.select("query_id", F.to_json(F.struct("service", F.transform("ms", lambda m: m["m"]).alias("matches")), {"ignoreNullFields": "false"}).alias("output"))
 
 
 def document(service: str, rows: list[dict]) -> dict:

@@ -122,6 +122,16 @@ def test_service(spark, town, tmp_path):
     assert service.is_coordinates(" -23.9 , 46") and not service.is_coordinates("91,0") and not service.is_coordinates("nan,1") and not service.is_coordinates("12")
 
 
+def test_json_of_matches(spark):
+    part = "named_struct('level', 12, 'name', 'A', 'osm_relation_id', cast(null AS long), 'osm_way_id', 1L, 'wkt', cast(null AS string))"
+    row = "SELECT 7L AS query_id, 'text_to_address' AS service, {0} AS rank, {0}L AS id, array(" + part + ") AS admin_levels, 0D AS latitude, 1D AS longitude, cast(null AS long) AS coordinates_distance_in_meters, cast(1 AS float) AS similarity, cast(2 AS float) AS score, 'A' AS friendly_name, named_struct('post_code', 'P') AS attributes, cast(null AS struct<number:string,kind:string>) AS house_number"
+    rows = spark.sql(row.format(2)).unionByName(spark.sql(row.format(1)))
+    out = json.loads(qy.as_json(rows).first().output)
+    assert [m["id"] for m in out["matches"]] == [1, 2] and out["matches"][0]["house_number"] is None
+    plain = qy.document("text_to_address", [r.asDict(recursive=True) for r in rows.orderBy("rank").collect()])
+    assert "house_number" not in plain["matches"][0] and "wkt" not in plain["matches"][0]["admin_levels"][0] and plain["matches"][0]["score"] == 2
+
+
 def test_plans_have_no_nested_loops(spark, town):
     p = spark.createDataFrame([(0, 0.0, 0.0)], "query_id long, lat double, lon double")
     plan = qy.coordinate_matches(p, town, qy.Filters(include_wkt=False))._jdf.queryExecution().executedPlan().toString()
