@@ -34,8 +34,9 @@ NEEDED_BITS = 20
 ROUND_GAIN = 8
 #: Random orders of the nodes that shingles' holders are put in.
 ORDERS = 2
-#: Hash ranges of the suffix bound.
-RANGES = 128
+#: Hash ranges of the suffix bound, at least, and shingles of a set to each: a long set has more ranges, always a power of two
+#: times as many, or the counts of any two long sets would be alike.
+RANGES, EACH = 128, 4
 
 
 def least_overlap(n: int, m: int, threshold: Fraction) -> int:
@@ -66,6 +67,14 @@ def _bucket(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64)
 
 
+def ranges_for(n: int) -> int:
+    """How many hash ranges a set of n shingles is counted by."""
+    r = RANGES
+    while r * EACH < n:
+        r *= 2
+    return r
+
+
 def _describe(n: int):
     """A row for each document (node, set size, shingle counts by hash range), then the task's shingle counts by frequency
     bucket, which stands in place of the node."""
@@ -78,7 +87,8 @@ def _describe(n: int):
             sizes, nodes, ranges, held = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows, []
             for i, s in _sets(batch, n):
                 sizes[i], nodes[i] = len(s), node_of(s)
-                ranges[i] = np.bincount((s % np.uint64(RANGES)).astype(np.int64), minlength=RANGES).clip(max=32767).astype(np.int16)
+                r = ranges_for(len(s))
+                ranges[i] = np.bincount((s % np.uint64(r)).astype(np.int64), minlength=r).clip(max=32767).astype(np.int16)
                 held.append(s)
             if held:
                 counts += np.bincount(_bucket(np.concatenate(held)), minlength=len(counts))
@@ -171,6 +181,13 @@ def _needed_sets(n: int, bits: np.ndarray):
     return run
 
 
+def folded(ranges: Column, few: Column) -> Column:
+    """Counts by so many ranges from counts by a multiple of them."""
+    times = F.floor(F.size(ranges) / few).cast("int")
+    sums = F.transform(F.sequence(F.lit(0), few - 1), lambda i: F.aggregate(F.sequence(F.lit(0), times - 1), F.lit(0), lambda total, k: total + ranges[i + k * few].cast("int")))
+    return F.when(times > 1, sums).otherwise(ranges.cast("array<int>"))
+
+
 def _bit(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.xxhash64(doc_id), F.lit(1 << NEEDED_BITS)), F.lit(0))
 
@@ -216,7 +233,8 @@ class JaccardJoin:
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
         side = lambda k: self.described.select(*[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "ranges", "doc_id")])
         both = pairs.join(side("a"), F.col("a") == F.col("node_a")).join(side("b"), F.col("b") == F.col("node_b"))
-        most = F.aggregate(F.zip_with("ranges_a", "ranges_b", lambda x, y: F.when((x == 32767) | (y == 32767), F.lit(1 << 30)).otherwise(F.least(x, y).cast("int"))), F.lit(0).cast("long"), lambda x, y: x + y)
+        few = F.least(F.size("ranges_a"), F.size("ranges_b"))
+        most = F.aggregate(F.zip_with(folded(F.col("ranges_a"), few), folded(F.col("ranges_b"), few), lambda x, y: F.when((x >= 32767) | (y >= 32767), F.lit(1 << 30)).otherwise(F.least(x, y))), F.lit(0).cast("long"), lambda x, y: x + y)
         left = written(both.where(most >= self.overlap(F.col("n_a"), F.col("n_b"))).select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "doc_id_a", "doc_id_b"))
         marks = left.select(_bit(F.col("doc_id_a")).alias("bit")).unionByName(left.select(_bit(F.col("doc_id_b")).alias("bit")))
         words = marks.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
