@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from gazetteer.operators import housenumbers as hn
+from gazetteer.operators import spatial as sp
 
 N = 300
 
@@ -30,3 +31,25 @@ def test_closest_house_of_many_at_one_place(spark):
     rows, most = joined_rows(spark, hn.closest(points, houses))
     assert sorted(tuple(r) for r in rows) == [(i, 1, "0", 11) for i in range(N)]
     assert 0 < most <= 2 * N
+
+
+def crowd(spark):
+    """Points at one place, and a street of one segment as often; a second place and segment are far from them."""
+    points = spark.range(N).select(F.col("id").alias("cid"), F.when(F.col("id") == 5, 9.0).otherwise(2.0).alias("lon"), F.lit(3.0).alias("lat"))
+    far = F.when(F.col("id") == 1, 4.0).otherwise(0.0)
+    return points, spark.range(N).select("id", F.lit("A").alias("name"), (2.0 + far).alias("x1"), F.lit(3.0001).alias("y1"), (2.01 + far).alias("x2"), F.lit(3.0001).alias("y2"))
+
+
+def test_first_streets_of_many_at_one_place(spark):
+    points, streets = crowd(spark)
+    rows, most = joined_rows(spark, sp.nearby_streets(points, streets, "cid").select("cid", "id", "rank", "metres"))
+    first = [i for i in range(11) if i != 1]
+    assert sorted(tuple(r) for r in rows) == [(c, i, k, 11) for c in range(N) if c != 5 for k, i in enumerate(first, 1)]
+    assert 0 < most <= 10 * N
+
+
+def test_point_with_two_places_keeps_its_first_streets(spark):
+    points = spark.createDataFrame([(1, 2.0, 3.0), (1, 2.0, 3.0002)], "cid long, lon double, lat double")
+    _, streets = crowd(spark)
+    rows = sp.nearby_streets(points, streets, "cid").select("id", "rank", "metres").collect()
+    assert sorted((r.rank, r.metres) for r in rows) == [(k, 11) for k in range(1, 11)]
