@@ -53,3 +53,12 @@ def test_point_with_two_places_keeps_its_first_streets(spark):
     _, streets = crowd(spark)
     rows = sp.nearby_streets(points, streets, "cid").select("id", "rank", "metres").collect()
     assert sorted((r.rank, r.metres) for r in rows) == [(k, 11) for k in range(1, 11)]
+
+
+def test_first_streets_in_a_region_of_many_at_one_place(spark):
+    points, streets = crowd(spark)
+    ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((1.0, 2.0), (3.0, 2.0), (2.0, 5.0), (1.0, 2.0))])
+    rows, most = joined_rows(spark, sp.nearby_streets(points, streets, "cid", ring, envelope=(1.0, 2.0, 3.0, 5.0)).select("cid", "id"))
+    assert len(rows) == 10 * (N - 1) and 0 < most <= 10 * N
+    outside = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((1.0, 2.0), (3.0, 2.0), (3.0, 3.0), (1.0, 2.0))])
+    assert sp.nearby_streets(points, streets, "cid", outside).count() == 0
