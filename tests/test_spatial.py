@@ -62,3 +62,11 @@ def test_first_streets_in_a_region_of_many_at_one_place(spark):
     assert len(rows) == 10 * (N - 1) and 0 < most <= 10 * N
     outside = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((1.0, 2.0), (3.0, 2.0), (3.0, 3.0), (1.0, 2.0))])
     assert sp.nearby_streets(points, streets, "cid", outside).count() == 0
+
+
+def test_all_streets_of_many_at_one_place(spark):
+    points, streets = crowd(spark)
+    all_of = sp.nearby_streets(points, streets, "cid", top=None)
+    assert all_of.where("metres <= 11").count() == (N - 1) ** 2
+    rows, most = joined_rows(spark, all_of.where("metres < 11"))
+    assert rows == [] and most <= N  # no pairs of copies before the filter
