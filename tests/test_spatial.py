@@ -70,3 +70,10 @@ def test_all_streets_of_many_at_one_place(spark):
     assert all_of.where("metres <= 11").count() == (N - 1) ** 2
     rows, most = joined_rows(spark, all_of.where("metres < 11"))
     assert rows == [] and most <= N  # no pairs of copies before the filter
+
+
+def test_nearest_of_many_streets_at_one_place(spark):
+    points, streets = crowd(spark)
+    rows, most = joined_rows(spark, sp.match_houses(points.withColumn("addr_street", F.lit(None).cast("string")), streets, "cid", 0.15))
+    assert sorted((r.cid, r.street_id, r.strategy) for r in rows) == [(c, 0, 0) for c in range(N) if c != 5]
+    assert 0 < most <= N
