@@ -77,3 +77,13 @@ def test_nearest_of_many_streets_at_one_place(spark):
     rows, most = joined_rows(spark, sp.match_houses(points.withColumn("addr_street", F.lit(None).cast("string")), streets, "cid", 0.15))
     assert sorted((r.cid, r.street_id, r.strategy) for r in rows) == [(c, 0, 0) for c in range(N) if c != 5]
     assert 0 < most <= N
+
+
+def test_match_of_many_houses_at_one_place_and_name(spark):
+    points, streets = crowd(spark)
+    named = points.withColumn("addr_street", F.when(F.col("cid") % 2 == 0, "a"))
+    far = streets.withColumn("name", F.when(F.col("id") % 3 == 0, "b").otherwise("A"))
+    rows, most = joined_rows(spark, sp.match_houses(named, far, "cid"))
+    # street 1 lies 4 degrees off, so the smallest id of the name near by is 2
+    assert sorted((r.cid, r.street_id, r.strategy) for r in rows) == [(c, 0 if c % 2 else 2, 1 - c % 2) for c in range(N) if c != 5]
+    assert 0 < most <= N
