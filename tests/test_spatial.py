@@ -87,3 +87,11 @@ def test_match_of_many_houses_at_one_place_and_name(spark):
     # street 1 lies 4 degrees off, so the smallest id of the name near by is 2
     assert sorted((r.cid, r.street_id, r.strategy) for r in rows) == [(c, 0 if c % 2 else 2, 1 - c % 2) for c in range(N) if c != 5]
     assert 0 < most <= N
+
+
+def test_houses_found_by_name_alone(spark):
+    points, streets = crowd(spark)
+    named = points.withColumn("addr_street", F.when(F.col("cid") % 2 == 0, "a").otherwise("c"))
+    rows, most = joined_rows(spark, sp.match_houses_by_name(named, streets, "cid"))
+    assert sorted((r.cid, r.street_id, r.strategy) for r in rows) == [(c, 0, 1) for c in range(0, N, 2)]
+    assert 0 < most <= N
