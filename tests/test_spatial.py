@@ -1,9 +1,14 @@
 """Joins of points, streets and houses that share places: right rows, and no pair of copies compared twice."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from gazetteer import query as qy
 from gazetteer.operators import housenumbers as hn
 from gazetteer.operators import spatial as sp
+from gazetteer.plans import fixtures as fx
+from gazetteer.plans import suite
+from gazetteer.scratch import written
 
 N = 300
 
@@ -95,3 +100,33 @@ def test_houses_found_by_name_alone(spark):
     rows, most = joined_rows(spark, sp.match_houses_by_name(named, streets, "cid"))
     assert sorted((r.cid, r.street_id, r.strategy) for r in rows) == [(c, 0, 1) for c in range(0, N, 2)]
     assert 0 < most <= N
+
+
+def test_lines_of_many_at_one_place(spark):
+    points, streets = crowd(spark)
+    xy = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    lines = sp.with_box(streets).select("id", "name", F.array(F.array(xy("x1", "y1"), xy("x2", "y2"))).alias("lines"), "minx", "miny", "maxx", "maxy")
+    rows, most = joined_rows(spark, sp.match_houses_to_lines(points.withColumn("addr_street", F.when(F.col("cid") % 2 == 0, "a")), lines, "cid"))
+    assert sorted((r.cid, r.street_id, r.strategy) for r in rows) == [(c, 0, 1 - c % 2) for c in range(N) if c != 5]
+    assert 0 < most <= N
+    near = sp.nearby_lines(points.where("cid < 3").select(F.col("cid").alias("query_id"), "lon", "lat"), lines.drop("name"))
+    assert sorted((r.query_id, r.id, r.metres) for r in near.collect()) == [(c, i, 11) for c in range(3) for i in range(N) if i != 1]
+
+
+@pytest.mark.parametrize("early", [True])
+def test_matches_of_many_points_at_one_place(spark, monkeypatch, early):
+    f = fx.Fixtures(spark, "/root/testdata/sf0.001")
+    tables, street = suite._tables(f), f.streets().orderBy("id").first()
+    points = spark.range(N).select((F.col("id") + 4).alias("query_id"), F.lit(street.y1).alias("lat"), F.lit(street.x1).alias("lon"))
+    sizes = []
+
+    def counted(df):
+        table = written(df)
+        sizes.append(table.count())
+        return table
+
+    monkeypatch.setattr(qy, "written", counted)
+    rows = qy.coordinate_matches(points, tables, qy.Filters(include_wkt=False), early).select("query_id", "rank", "id").collect()
+    one = sorted((r.rank, r.id) for r in rows if r.query_id == 4)
+    assert one[0] == (1, street.id) and sorted(tuple(r) for r in rows) == [(q + 4, *m) for q in range(N) for m in one]
+    assert max(sizes) <= f.streets().count()
