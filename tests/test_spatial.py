@@ -113,7 +113,7 @@ def test_lines_of_many_at_one_place(spark):
     assert sorted((r.query_id, r.id, r.metres) for r in near.collect()) == [(c, i, 11) for c in range(3) for i in range(N) if i != 1]
 
 
-@pytest.mark.parametrize("early", [True])
+@pytest.mark.parametrize("early", [True, False])
 def test_matches_of_many_points_at_one_place(spark, monkeypatch, early):
     f = fx.Fixtures(spark, "/root/testdata/sf0.001")
     tables, street = suite._tables(f), f.streets().orderBy("id").first()
