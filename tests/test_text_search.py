@@ -29,3 +29,28 @@ def test_distances_in_batches():
     a, b = pd.Series(["rnig", "abc", "", "", "abcd", "ca", "a\U0001f600b", "kitten"]), pd.Series(["ring", "abcdef", "", "xy", "badc", "abc", "ab\U0001f600", "sitting"])
     assert ti.osa_distances(a, b, 2).tolist()[:7] == [1, 3, 0, 2, 2, 3, 1]
     assert [min(x, 3) for x in ti.osa_distances(a, b, 2)] == [min(ti.osa_distance(x, y, 2), 3) for x, y in zip(a, b)]
+
+
+def test_loose_search_finds_a_words_documents_once(spark):
+    docs = spark.range(N).select("id", F.concat(F.lit("common w"), F.col("id") + 1000).alias("name"), F.lit("").alias("hier"))
+    index = ti.TextIndex.build(docs)
+    queries = spark.range(N).select(F.col("id").alias("query_id"), F.lit("common zzzzzzzz").alias("text"))
+    words = queries.limit(1).select(F.lit("common").alias("wanted"))
+    rows, most = joined_rows(spark, ti.word_scores(index, words, ti.Boosts()))
+    assert len(rows) == N and len({r.score for r in rows}) == 1 and most <= 4 * N
+    found = ti.search(index, queries, top=3).collect()
+    assert sorted((r.query_id, r["rank"], r.doc) for r in found) == [(q, k + 1, k) for q in range(N) for k in range(3)]
+
+
+def test_equal_sums_go_by_id(spark):
+    """0.1 + 0.2 + 0.3 and 0.3 + 0.2 + 0.1 differ in the last bit; they are one score."""
+    index, queries = many(spark)
+    scores = iter([[(0, 5, 0.3 + 0.2 + 0.1), (0, 3, 0.1 + 0.2 + 0.3)], [(0, 5, 0.1 + 0.2 + 0.3), (0, 3, 0.3 + 0.2 + 0.1)]])
+    for rows in scores:
+        strict = spark.createDataFrame(rows, "query_id long, doc long, score double")
+        old, ti.strict_scores = ti.strict_scores, lambda *_: strict
+        try:
+            found = ti.search(index, queries.limit(1)).collect()
+        finally:
+            ti.strict_scores = old
+        assert [r.doc for r in sorted(found, key=lambda r: r["rank"])] == [3, 5]
