@@ -23,13 +23,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import discard, written
+from .common import discard, unused, written
 from .graph import components
 
 #: Buckets of the frequency table that orders shingles (a power of two; the table has one byte a bucket).
 FREQUENCY_BITS = 18
 #: Bits of the table of candidates' ids that saves hashing texts which no pair needs; what passes wrongly is joined away.
 NEEDED_BITS = 20
+#: Bits for each id of the table that tells which rows a join by id must look at, at least, and its most bits, as a power of two.
+MARKS, MOST_MARKS = 8, 27
 #: Holders are verified against hubs if the pairs left would be more than so many times the rows left.
 ROUND_GAIN = 8
 #: Random orders of the nodes that shingles' holders are put in.
@@ -317,14 +319,28 @@ def grouped(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
+def set_apart(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of `docs` whose doc_id is surely not one of `ids`, and the few others.  Which are which is told by a
+    table of bits, a few for each of `ids`, so that no text moves but those of the second part."""
+    size = 1 << min(MOST_MARKS, max(10, (MARKS * ids.count()).bit_length()))
+    word, bits = unused(docs, "word", "bits")
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(size))
+    mark = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {size}L) % 64 as int))")
+    marks = written(ids.select(F.shiftright(at, 6).alias(word), mark.alias(bits)).groupBy(word).agg(F.bit_or(bits).alias(bits)))
+    told = docs.withColumn(word, F.shiftright(at, 6)).join(F.broadcast(marks), word, "left")
+    met = F.coalesce(F.col(bits), F.lit(0)).bitwiseAND(mark) != 0
+    return told.where(~met).select(*docs.columns), told.where(met).select(*docs.columns)
+
+
 def one_of_each(docs: DataFrame, words: int = 5, threshold: Fraction | str = "0.8") -> DataFrame:
     """The rows of `docs`, all columns, whose doc_id is the smallest of its group.  Rows without words or with a null id
     belong to no group and stay.  Rows that repeat an id are judged together, and of those with equal texts one stays."""
     groups = written(jaccard_groups(docs, words, threshold).where(F.col("doc_id").isNotNull()))
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    gone = written(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
     again = written(groups.groupBy("doc_id").agg(F.count("*").alias("c")).where(F.col("c") > 1).select("doc_id"))
-    kept = docs.join(gone, "doc_id", "left_anti")
-    if not again.take(1):
-        return kept.select(*docs.columns)
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    rest, judged = set_apart(docs, gone.unionByName(again))
+    kept = judged.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if again.take(1):
+        once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+        kept = kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    return rest.unionByName(kept)

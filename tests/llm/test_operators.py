@@ -61,6 +61,30 @@ def test_one_of_each(docs):
     assert ids.count(14) == 1 and 2 not in ids and {1, 5, 7, 8, 9, 10, 12, 13, None} <= set(ids)
 
 
+def test_one_of_each_moves_few_texts(spark):
+    rows = [(i, f"only {i} here") for i in range(3000)] + [(5000 + i, f"only {i} here") for i in range(20)] + [(7, "other 7 there"), (7, "other 7 there"), (None, "only 1 here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = jaccard.one_of_each(df, 3, "0.9")
+        kept = out.collect()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        store = spark._jsparkSession.sharedState().statusStore()
+        runs = store.executionsList()
+        last = runs.apply(runs.size() - 1).executionId()
+        values, nodes, moved = store.executionMetrics(last), store.planGraph(last).allNodes(), 0
+        for i in range(nodes.size()):
+            for j in range(nodes.apply(i).metrics().size()):
+                m = nodes.apply(i).metrics().apply(j)
+                if m.name() == "shuffle records written" and values.contains(m.accumulatorId()):
+                    moved += int(values.apply(m.accumulatorId()).replace(",", ""))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in kept) == sorted([(False, i, f"only {i} here") for i in range(3000)] + [(False, 7, "other 7 there"), (True, 0, "only 1 here")])
+    assert 20 <= moved < 1000
+
+
 def test_large_family_keeps_its_links(spark):
     base = text(9, 200)
     rows = [(i, near(base, i) if i else base) for i in range(300)]
