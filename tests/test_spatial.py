@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gazetteer import query as qy
+from gazetteer.functions import shapes
 from gazetteer.operators import housenumbers as hn
 from gazetteer.operators import spatial as sp
 from gazetteer.plans import fixtures as fx
@@ -113,6 +114,17 @@ def test_lines_of_many_at_one_place(spark):
     assert sorted((r.query_id, r.id, r.metres) for r in near.collect()) == [(c, i, 11) for c in range(3) for i in range(N) if i != 1]
 
 
+def test_first_lines_of_many_at_one_place(spark):
+    points, streets = crowd(spark)
+    xy = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    areas = streets.select(F.col("id").cast("long").alias("id"), F.lit(12).alias("admin_level"), "name", shapes.of_lines(shapes.LINE, F.array(F.array(xy("x1", "y1"), xy("x2", "y2")))).alias("geom"))
+    asked, tables = points.where("cid < 3").select(F.col("cid").alias("query_id"), "lon", "lat"), qy.Tables(areas, None, None, None)
+    rows, most = joined_rows(spark, qy.street_candidates(asked, tables, qy.Filters()))
+    assert sorted((r.query_id, r.place, r.id) for r in rows) == [(c, k, i) for c in range(3) for k, i in enumerate([i for i in range(11) if i != 1], 1)]
+    assert 0 < most <= 30
+    assert len(qy.street_candidates(asked, tables, qy.Filters(), early=False).collect()) == len(qy.street_candidates(asked, tables, qy.Filters(levels=(12,))).collect()) == 3 * (N - 1)
+
+
 @pytest.mark.parametrize("early", [True, False])
 def test_matches_of_many_points_at_one_place(spark, monkeypatch, early):
     f = fx.Fixtures(spark, "/root/testdata/sf0.001")
